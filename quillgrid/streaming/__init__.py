@@ -1,0 +1,5 @@
+"""No stream is part of the covered work.
+
+The row-wise operators (cleaning, tokens, fitted feature and model transforms)
+hold no state across rows, so they also accept a streaming DataFrame.
+"""
