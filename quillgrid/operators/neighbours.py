@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quillgrid.session import spread_groups
 from quillgrid.settings import KNN_K
 
 BLOCK_ROWS = 2_000
@@ -104,9 +105,10 @@ def nearest_neighbours(
         .withColumn("t", block(train_blocks))
         .withColumn("q", numbers(query_blocks))
     )
+    pairs = query_blocks * train_blocks
     partial = (
-        left.groupBy("q", "t")
-        .cogroup(right.groupBy("q", "t"))
+        spread_groups(left, pairs, "q", "t").groupBy("q", "t")
+        .cogroup(spread_groups(right, pairs, "q", "t").groupBy("q", "t"))
         .applyInPandas(_nearest_in_block(k), "id long, train_id long, label int, distance double")
     )
     nearest = Window.partitionBy("id").orderBy("distance", "train_id")

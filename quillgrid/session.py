@@ -63,3 +63,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     AQE splits a skewed key of the shuffle join, so a hot key stays spread.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread_groups(df: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """Shuffle by group key into a set number of tasks.
+
+    Work per group is in Python and costs far more than its bytes suggest, so
+    AQE must not merge the tasks by size.
+    """
+    tasks = min(groups, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(max(1, tasks), *keys)
