@@ -134,11 +134,6 @@ def vector_schema(df: DataFrame, column: str = "features") -> StructType:
     ])
 
 
-def write_features(df: DataFrame, path: str) -> None:
-    """Store features by split; the layout is the one an ML vector is stored in."""
-    df.write.partitionBy("split").parquet(path)
-
-
 def read_features(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Read stored features, the struct column as ML vectors."""
     return spark.read.schema(schema).parquet(path)
