@@ -20,6 +20,7 @@ EMBEDDING_EPOCHS = 10
 
 LOGREG_C = 1.0
 LOGREG_MAX_ITER = 1000
+LOGREG_TOLERANCE = 1e-4
 FOREST_TREES = 200
 FOREST_MAX_DEPTH = 16
 BOOST_ROUNDS = 200

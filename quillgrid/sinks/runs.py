@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 def _cell(df: DataFrame, column: str) -> Column:
     if isinstance(df.schema[column].dataType, (DoubleType, FloatType)):
-        return F.coalesce(F.format_string("%.6f", F.col(column)), F.lit(""))
+        return F.when(F.col(column).isNotNull(), F.format_string("%.6f", F.col(column))).otherwise("")
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
