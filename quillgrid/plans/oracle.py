@@ -392,14 +392,14 @@ ORACLE: dict[str, str] = {
     ),
     "w2v_doc_mean": mean_vectors(),
     "nb_complement": with_tables(
-        TEXT_BAYES, "SELECT id AS doc_id, split, truth, prediction, round(log_probability, 6) AS log_probability FROM best"
+        TEXT_BAYES, "SELECT id AS doc_id, split, truth, prediction, round(log_probability, 6) + 0::DOUBLE AS log_probability FROM best"
     ),
     "nb_proba": with_tables(
         TEXT_BAYES + [("top", "SELECT *, exp(score - max(score) OVER (PARTITION BY id)) AS e FROM scores")],
         "SELECT id AS doc_id, class, round(e / sum(e) OVER (PARTITION BY id), 6) AS probability FROM top",
     ),
     "nb_dense_shift": with_tables(
-        DENSE_BAYES, "SELECT id AS vec_id, split, truth, prediction, round(log_probability, 6) AS log_probability FROM best"
+        DENSE_BAYES, "SELECT id AS vec_id, split, truth, prediction, round(log_probability, 6) + 0::DOUBLE AS log_probability FROM best"
     ),
     "knn_predict": with_tables(
         NEAREST,
