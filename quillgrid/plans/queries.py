@@ -20,7 +20,7 @@ from quillgrid.operators.vocabulary import term_stats, top_terms
 from quillgrid.operators.word_vectors import mean_word_vectors, train_word_vectors
 from quillgrid.operators.zero_shot import classify, evaluate_sample, hard_probability
 from quillgrid.plans.grid import grid_cells, run_cell, run_grid, split_corpus
-from quillgrid.session import materialize, scratch_path
+from quillgrid.session import materialize, scratch_path, spread_rows
 from quillgrid.sinks.runs import export_runs
 from quillgrid.sources.delimited import (
     Layout, column_profile, infer_columns, is_header, load_corpus, scan_delimited, separator_of,
@@ -32,12 +32,15 @@ from quillgrid.sources.runs import (
 LANGUAGES = ("de", "en", "es", "fr")
 REPLY_CLASSES = ("business", "entertainment", "politics", "sport", "tech")
 DIGITS = 6
+# Tables with much work per row.
+TEXT_TABLES = ("documents", "pages", "conversations")
 
 _split_corpora: dict[tuple[str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_rows(df) if name in TEXT_TABLES else df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,16 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Give every core some rows of an input that is cut into fewer tasks than cores.
+
+    A small corpus in one file is one task. An input with enough tasks, as any
+    large one has, is left as scanned: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast after counting rows; a larger side keeps the shuffle join.
 
