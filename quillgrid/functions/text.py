@@ -10,6 +10,8 @@ from pyspark.sql import Column, functions as F
 
 # The characters that count as white space, the cleaning patterns
 # in the order they apply, and the token patterns. All valid in Java and RE2.
+# The last cleaning pattern takes runs of white space and of dropped characters
+# together: both end as one space.
 SPACE_CHARS = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -19,8 +21,7 @@ NON_SPACE = f"[^{SPACE_CHARS}]"
 CLEANING_PATTERNS = (
     r"<[^>]+>",
     f"http{NON_SPACE}+|www{NON_SPACE}+",
-    f"[^a-z0-9.,!?'{SPACE_CHARS}]",
-    SPACES,
+    r"[^a-z0-9.,!?']+",
 )
 TOKEN_PATTERNS = {
     "default": r"[a-z0-9]{2,}",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quillgrid import settings
 from quillgrid.functions.replies import PREFIX_LENGTH, PROMPT_DOCUMENT, PROMPT_HEAD, PROMPT_RULES
-from quillgrid.functions.text import CLEANING_PATTERNS, NON_SPACE, SPACES, TOKEN_PATTERNS
+from quillgrid.functions.text import NON_SPACE, SPACE_CHARS, SPACES, TOKEN_PATTERNS
 from quillgrid.operators.cache import DIGEST_DIGITS
 from quillgrid.plans.queries import LANGUAGES, REPLY_CLASSES
 
@@ -13,9 +13,13 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# Cleaning in four steps: markup, addresses, dropped characters, white space.
+CLEANING_STEPS = (r"<[^>]+>", f"http{NON_SPACE}+|www{NON_SPACE}+", f"[^a-z0-9.,!?'{SPACE_CHARS}]", SPACES)
+
+
 def cleaned(column: str) -> str:
     sql = f"lower({column})"
-    for pattern in CLEANING_PATTERNS:
+    for pattern in CLEANING_STEPS:
         sql = f"regexp_replace({sql}, {quoted(pattern)}, ' ', 'g')"
     return f"trim({sql}, ' ')"
 

@@ -29,7 +29,7 @@ BOOST_DEPTH = 6
 BOOST_ETA = 0.1
 SVM_C = 1.0
 SVM_MAX_ITER = 2000
-SVM_TOLERANCE = 1e-4
+SVM_TOLERANCE = 1e-3
 SVM_CALIBRATION_FOLDS = 3
 NB_ALPHA = 1.0
 KNN_K = 5
