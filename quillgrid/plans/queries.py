@@ -301,11 +301,12 @@ def feature_fingerprint(spark, sf_dir):
 
 def w2v_doc_mean(spark, sf_dir):
     """Word vectors: the embedding whose id is the rank of the term."""
-    ranked = top_terms(term_stats(corpus(spark, sf_dir).select(space_tokens(F.col("text_clean")).alias("tokens"))), 20_000)
+    df = split_documents(spark, sf_dir)
+    ranked = top_terms(term_stats(df.select(space_tokens(F.col("text_clean")).alias("tokens"))), 20_000)
     vectors = table(spark, sf_dir, "embeddings").join(ranked, F.col("vec_id") == F.col("term_id")).select(
         "term", F.col("embedding").alias("vector")
     )
-    means = mean_word_vectors(corpus(spark, sf_dir), materialize(vectors, "vectors"), 64)
+    means = mean_word_vectors(df, materialize(vectors, "vectors"), 64)
     return rounded(means.select("doc_id", F.posexplode("vector").alias("pos", "value")), "value")
 
 
