@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from quillgrid.operators.prepare import prepare_corpus, typed_label
 from quillgrid.settings import LABEL_COLUMN_NAMES, MISSING_TOKENS, TEXT_COLUMN_NAMES
+from quillgrid.sources.records import read_records
 
 # How many leading cells decide on a header, and how short they are.
 HEADER_CELLS = 3
@@ -60,20 +61,32 @@ def sniff(spark: SparkSession, path: str) -> Layout:
     return Layout(row.separator, named, columns)
 
 
-def scan_delimited(spark: SparkSession, path: str, layout: Layout | None = None, multiline: bool = True) -> DataFrame:
+def scan_delimited(spark: SparkSession, path: str, layout: Layout | None = None, records: str = "split") -> DataFrame:
     """All cells as text, missing-value tokens as NULL.
 
     A row with too many cells is dropped; a short row is filled up with NULL.
-    With ``multiline`` a quoted cell may hold line breaks and each file is one
-    task: give large inputs as many files. Without it files are split.
+    ``records`` says how rows are found: ``split`` allows line breaks inside quotes
+    and cuts large files; ``files`` does so with one task per file, for many small
+    files; ``lines`` takes each line as a row.
     """
     layout = layout or sniff(spark, path)
     width = len(layout.columns)
     fields = [StructField(f"c{i}", StringType()) for i in range(width)] + [StructField(CORRUPT, StringType())]
-    raw = spark.read.csv(
-        path, schema=StructType(fields), sep=layout.separator, header=layout.header, quote='"', escape='"',
-        multiLine=multiline, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True, encoding="UTF-8",
-    )
+    schema = StructType(fields)
+    if records == "split":
+        found = read_records(spark, path, layout.separator).where(F.trim("record") != "")
+        if layout.header:
+            found = found.where(~F.col("is_first"))
+        options = {
+            "sep": layout.separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
+        }
+        cells = ", ".join(f"{f.name} string" for f in fields)
+        raw = found.select(F.from_csv("record", cells, options).alias("row")).select("row.*")
+    else:
+        raw = spark.read.csv(
+            path, schema=schema, sep=layout.separator, header=layout.header, quote='"', escape='"',
+            multiLine=records == "files", mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True, encoding="UTF-8",
+        )
     # The record of a row whose number of cells is wrong: parse it again with one more cell.
     wide = ", ".join(f"c{i} string" for i in range(width + 1))
     again = F.from_csv(F.col(CORRUPT), wide, {"sep": layout.separator, "quote": '"', "escape": '"', "multiLine": "true"})
@@ -121,13 +134,13 @@ def infer_columns(df: DataFrame, candidates: list[str] | None = None) -> tuple[s
     return text, label
 
 
-def load_corpus(spark: SparkSession, path: str, id_column: str | None = None, multiline: bool = True) -> DataFrame:
+def load_corpus(spark: SparkSession, path: str, id_column: str | None = None, records: str = "split") -> DataFrame:
     """``(doc_id, label, text, text_clean)`` of a delimited file.
 
     Without an id column rows are numbered in scan order. The number depends on
     how the files are cut into tasks: store the corpus before using it twice.
     """
-    scanned = scan_delimited(spark, path, multiline=multiline)
+    scanned = scan_delimited(spark, path, records=records)
     candidates = [c for c in scanned.columns if c != id_column]
     text, label = infer_columns(scanned, candidates)
     if id_column is None:

@@ -1,3 +1,6 @@
+import csv
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,18 +19,48 @@ def write(path, data):
     return str(path)
 
 
-def test_edge_cases(spark, tmp_path):
-    rows = [tuple(r) for r in scan_delimited(spark, write(tmp_path / "c.csv", EDGE_CASES)).collect()]
-    assert rows == [
+@pytest.mark.parametrize("records", ["split", "files"])
+def test_edge_cases(spark, tmp_path, records):
+    rows = [tuple(r) for r in scan_delimited(spark, write(tmp_path / "c.csv", EDGE_CASES), records=records).collect()]
+    expected = [
         ('a, "q" line1\nline2', "0"), ("short", None), (None, "2"), ("   ", "3"),
         ("bad � byte", "4"), (None, "1"), (None, "2"),
     ]
+    assert sorted(rows, key=str) == sorted(expected, key=str)
+
+
+@pytest.mark.parametrize("split_bytes", [64, 300, 1 << 20])
+def test_quoted_line_breaks_over_splits(spark, tmp_path, split_bytes):
+    """Records larger and smaller than a split, stray quotes, and one hot file."""
+    rng = random.Random(5)
+    cells = ["plain", 'say "hi"', "two\nlines", '\n\n"', 'x,"y"\n,z', "w " * 200 + "\n" + "v " * 200, "", "\n".join("abcdefghij")]
+    for number, count in enumerate((400, 3, 1)):
+        rows = [(f"{number}-{i}", rng.choice(cells), rng.choice(cells)) for i in range(count)]
+        with open(tmp_path / f"part{number}.csv", "w", newline="") as f:
+            f.write("id,Text,Label\n")
+            writer = csv.writer(f, lineterminator="\n")
+            for row in rows:
+                writer.writerow(row)
+                if rng.random() < 0.3:
+                    f.write(f'{row[0]}s,in"side,5" disk\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = scan_delimited(spark, str(tmp_path), sniff(spark, str(tmp_path)), "split").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    expected = []
+    for number in range(3):
+        with open(tmp_path / f"part{number}.csv", newline="") as f:
+            expected += [tuple(c or None for c in row) for row in list(csv.reader(f))[1:]]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
 
 
 def test_prepared_edge_cases(spark, tmp_path):
     corpus = load_corpus(spark, write(tmp_path / "c.csv", EDGE_CASES))
     assert corpus.schema["label"].dataType.simpleString() == "int"
-    got = [(r.label, r.text_clean) for r in corpus.collect()]
+    got = sorted((r.label, r.text_clean) for r in corpus.collect())
     assert got == [(0, "a, q line1 line2"), (4, "bad byte")]
 
 
