@@ -16,6 +16,7 @@ HEADER_CELLS = 3
 HEADER_CELL_LENGTH = 40
 
 CORRUPT = "_corrupt"
+MAX_FILE_BYTES = 256 * 1024 * 1024
 
 
 def separator_of(line: Column) -> Column:
@@ -61,15 +62,23 @@ def sniff(spark: SparkSession, path: str) -> Layout:
     return Layout(row.separator, named, columns)
 
 
-def scan_delimited(spark: SparkSession, path: str, layout: Layout | None = None, records: str = "split") -> DataFrame:
+def largest_file(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file; only metadata is read."""
+    return spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+
+
+def scan_delimited(spark: SparkSession, path: str, layout: Layout | None = None, records: str = "auto") -> DataFrame:
     """All cells as text, missing-value tokens as NULL.
 
     A row with too many cells is dropped; a short row is filled up with NULL.
-    ``records`` says how rows are found: ``split`` allows line breaks inside quotes
-    and cuts large files; ``files`` does so with one task per file, for many small
-    files; ``lines`` takes each line as a row.
+    ``records`` says how rows are found. ``files`` and ``split`` allow line breaks
+    inside quotes: the first gives each file to one task, the second cuts files;
+    ``auto`` takes the second once a file is larger than a task should get.
+    ``lines`` takes each line as a row.
     """
     layout = layout or sniff(spark, path)
+    if records == "auto":
+        records = "files" if largest_file(spark, path) <= MAX_FILE_BYTES else "split"
     width = len(layout.columns)
     fields = [StructField(f"c{i}", StringType()) for i in range(width)] + [StructField(CORRUPT, StringType())]
     schema = StructType(fields)
@@ -134,7 +143,7 @@ def infer_columns(df: DataFrame, candidates: list[str] | None = None) -> tuple[s
     return text, label
 
 
-def load_corpus(spark: SparkSession, path: str, id_column: str | None = None, records: str = "split") -> DataFrame:
+def load_corpus(spark: SparkSession, path: str, id_column: str | None = None, records: str = "auto") -> DataFrame:
     """``(doc_id, label, text, text_clean)`` of a delimited file.
 
     Without an id column rows are numbered in scan order. The number depends on

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quillgrid.plans.analysis import analyse
 from quillgrid.sinks.runs import export_runs, meta_frame, meta_lines, write_runs
-from quillgrid.sources.delimited import infer_columns, load_corpus, scan_delimited, sniff
+from quillgrid.sources import delimited
+from quillgrid.sources.delimited import infer_columns, largest_file, load_corpus, scan_delimited, sniff
 from quillgrid.sources.runs import pipeline_of, scan_runs, scan_scaling, scored_runs, typed_runs
 
 EDGE_CASES = (
@@ -57,6 +58,16 @@ def test_quoted_line_breaks_over_splits(spark, tmp_path, split_bytes):
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
 
 
+def test_large_files_are_split(spark, tmp_path, monkeypatch):
+    path = write(tmp_path / "c.csv", EDGE_CASES)
+    assert largest_file(spark, str(tmp_path)) == len(EDGE_CASES)
+    whole = sorted(map(str, scan_delimited(spark, path).collect()))
+    monkeypatch.setattr(delimited, "MAX_FILE_BYTES", 10)
+    scanned = scan_delimited(spark, path)
+    assert "FileScan text" in scanned._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, scanned.collect())) == whole
+
+
 def test_prepared_edge_cases(spark, tmp_path):
     corpus = load_corpus(spark, write(tmp_path / "c.csv", EDGE_CASES))
     assert corpus.schema["label"].dataType.simpleString() == "int"
