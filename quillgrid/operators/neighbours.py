@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quillgrid.session import spread_groups
 from quillgrid.settings import KNN_K
 
-BLOCK_ROWS = 2_000
+# Larger blocks repeat fewer rows; small inputs are cut so that every core has a block.
+BLOCK_ROWS = 20_000
+SMALL_BLOCK_ROWS = 500
 DENSE_ROWS = 512
 
 
@@ -88,10 +90,13 @@ def nearest_neighbours(
 ) -> DataFrame:
     """``(id, train_id, label, distance, rank)``: the k nearest training rows per query.
 
-    Both inputs have ``id, size, indices, values``; ``train`` also an integer ``label``.
+    Both inputs have ``id, size, indices, values``; ``train`` also an integer
+    ``label``. The result is the same for any block size.
     """
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    train_rows = train.count()
     query_blocks = max(1, -(-queries.count() // block_rows))
-    train_blocks = max(1, -(-train.count() // block_rows))
+    train_blocks = max(1, -(-train_rows // block_rows), min(cores, train_rows // SMALL_BLOCK_ROWS))
 
     def numbers(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

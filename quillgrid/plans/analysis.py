@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillgrid.operators.compare import best_per_group, pivot_mean, speedup_table, strong_scaling, walltime_table
-from quillgrid.sinks.runs import write_csv
+from quillgrid.plans.grid import run_grid
+from quillgrid.sinks.runs import export_runs, meta_frame, write_csv, write_runs
 from quillgrid.sources.runs import pipeline_of, scan_runs, scan_scaling, scored_runs, total_time, typed_runs
 
 
@@ -36,3 +40,18 @@ def analyse(spark: SparkSession, folder: str, out: str | None = None, baseline:
         write_csv(tables["summary"], f"{out}/summary.csv")
         write_csv(tables["speedup"], f"{out}/speedup_table.csv")
     return tables
+
+
+def run_all(corpus: DataFrame, folder: str, variants: Sequence[str] = ("default", "optimized"), **options) -> dict[str, DataFrame]:
+    """Run the grid in each setting, store run files and the run table, and compare them.
+
+    ``corpus`` is split already; ``options`` are those of ``run_grid``.
+    """
+    spark = corpus.sparkSession
+    for variant in variants:
+        start = time.perf_counter()
+        runs = run_grid(corpus, variant=variant, **options)
+        meta = {"total_time": time.perf_counter() - start}
+        export_runs(runs, f"{folder}/results_{variant}.txt", meta_frame(spark, meta))
+        write_runs(runs, f"{folder}/runs")
+    return analyse(spark, folder, folder, baseline=variants[0])

@@ -269,7 +269,7 @@ def mean_vectors() -> str:
     ]
     return with_tables(
         steps,
-        "SELECT c.doc_id, p.pos, round(coalesce(m.value, 0), 6) AS value FROM corpus c CROSS JOIN (SELECT unnest(range(64)) AS pos) p "
+        "SELECT c.doc_id, p.pos::INT AS pos, round(coalesce(m.value, 0), 6) AS value FROM corpus c CROSS JOIN (SELECT unnest(range(64)) AS pos) p "
         "LEFT JOIN means m ON m.doc_id = c.doc_id AND m.pos = p.pos",
     )
 
@@ -449,7 +449,7 @@ ORACLE: dict[str, str] = {
     "onehot_proba": "SELECT vec_id, c AS class, (label = c)::INT::DOUBLE AS probability FROM embeddings CROSS JOIN (SELECT unnest(range(10))::INT AS c)",
     "grid_cells": "SELECT l.lang AS feature, s.source AS model FROM (SELECT DISTINCT lang FROM documents) l CROSS JOIN (SELECT DISTINCT source FROM documents) s",
     "stage_times": with_tables(
-        RUNS + [("per_feature", "SELECT feature, max(feature_fit_transform_time) AS f, sum(train_time) AS t FROM runs WHERE pipeline = 'N' GROUP BY 1")],
+        RUNS + [("per_feature", "SELECT feature, max(feature_fit_transform_time) AS f, sum(train_time) AS t FROM runs GROUP BY 1")],
         "SELECT 'model_training_' || feature AS stage, round(t, 6) AS seconds FROM per_feature UNION ALL "
         "SELECT 'feature_extraction_total', round(sum(f), 6) FROM per_feature UNION ALL SELECT 'model_training_total', round(sum(t), 6) FROM per_feature",
     ),

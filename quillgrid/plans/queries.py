@@ -467,7 +467,7 @@ def cells(spark, sf_dir):
 
 
 def stages(spark, sf_dir):
-    return rounded(compare.stage_times(lineitem_runs(spark, sf_dir).where("pipeline = 'N'")), "seconds")
+    return rounded(compare.stage_times(lineitem_runs(spark, sf_dir)), "seconds")
 
 
 def cell_run(spark, sf_dir):

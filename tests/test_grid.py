@@ -4,6 +4,7 @@ from quillgrid.operators.compare import best_per_group, speedup_table, strong_sc
 from quillgrid.operators.features import TermFeatures
 from quillgrid.operators.naive_bayes import fit_naive_bayes
 from quillgrid.operators.zero_shot import class_list, classify, hard_probability
+from quillgrid.plans.analysis import run_all
 from quillgrid.plans.grid import run_grid
 from quillgrid.plans.queries import LANGUAGES, load_stop_word_model
 from quillgrid.plans.registry import EXTRACTORS, MODELS
@@ -39,6 +40,17 @@ def test_grid_goes_on_after_failures(spark, divided):
     assert rows[("raw_text", "stop_words")].test_accuracy > 0.3 and len(rows) == 5
 
 
+def test_all_variants_are_run_and_compared(spark, divided, tmp_path):
+    tables = run_all(
+        divided, str(tmp_path), extractors={"bow": TermFeatures("bow", (1, 1), 100, False)},
+        fits={"naive_bayes": lambda train, val: fit_naive_bayes(train), "broken": broken},
+    )
+    assert {(r.pipeline, r.model) for r in tables["summary"].collect()} == {("default", "naive_bayes"), ("optimized", "naive_bayes")}
+    speed = {r.pipeline: r.speedup_vs_serial for r in tables["speedup"].collect()}
+    assert speed["default"] == 1.0 and speed["optimized"] > 0
+    assert spark.read.parquet(f"{tmp_path}/runs").count() == 4
+
+
 def test_registries_cover_the_grid():
     for variant in ("default", "optimized"):
         assert list(EXTRACTORS[variant]) == ["bow", "tfidf", "ngram", "word2vec", "doc2vec"]
