@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillgrid.llm import quality
+from quillgrid.llm import quality, simhash
 from quillgrid.session import spread_rows
 
 
@@ -17,5 +17,10 @@ def op9_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op9_quality_rules,)}
+def op6_simhash_near_dedup(spark, sf_dir):
+    linked = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linked.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+LLM_QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op9_quality_rules)}
 LLM_ORACLE: dict[str, str] = {}
