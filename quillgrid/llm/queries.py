@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillgrid.llm import quality, simhash
+from quillgrid.llm import language, quality, simhash
 from quillgrid.session import spread_rows
 
 
@@ -22,5 +22,11 @@ def op6_simhash_near_dedup(spark, sf_dir):
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op9_quality_rules)}
+def op10_language_id(spark, sf_dir):
+    found = language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    held_out = F.coalesce(language.remainder("doc_id") == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+LLM_QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op9_quality_rules, op10_language_id)}
 LLM_ORACLE: dict[str, str] = {}
