@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillgrid.llm import language, quality, simhash
+from quillgrid.llm import contamination, language, quality, simhash
 from quillgrid.session import spread_rows
 
 
@@ -17,6 +17,15 @@ def op9_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
+def op5_benchmark_decontamination(spark, sf_dir):
+    documents, bench = table(spark, sf_dir, "documents").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contamination.decontaminate(documents, bench)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def op6_simhash_near_dedup(spark, sf_dir):
     linked = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -28,5 +37,5 @@ def op10_language_id(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op9_quality_rules, op10_language_id)}
+LLM_QUERIES = {f.__name__: f for f in (op5_benchmark_decontamination, op6_simhash_near_dedup, op9_quality_rules, op10_language_id)}
 LLM_ORACLE: dict[str, str] = {}
