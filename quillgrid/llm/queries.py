@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillgrid.llm import contamination, language, quality, simhash
+from quillgrid.llm import contamination, language, pieces, quality, simhash
 from quillgrid.session import spread_rows
 
 
@@ -17,6 +17,17 @@ def op9_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
+def op4_sentencepiece(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(documents, "text", ("doc_id", "text"), decoded=True)
+    return coded.select(
+        "doc_id", F.size("input_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("input_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.length("decoded").cast("long").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op5_benchmark_decontamination(spark, sf_dir):
     documents, bench = table(spark, sf_dir, "documents").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contamination.decontaminate(documents, bench)
@@ -37,5 +48,5 @@ def op10_language_id(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op5_benchmark_decontamination, op6_simhash_near_dedup, op9_quality_rules, op10_language_id)}
+LLM_QUERIES = {f.__name__: f for f in (op4_sentencepiece, op5_benchmark_decontamination, op6_simhash_near_dedup, op9_quality_rules, op10_language_id)}
 LLM_ORACLE: dict[str, str] = {}
