@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillgrid.llm import contamination, language, pieces, quality, simhash
+from quillgrid.llm import contamination, language, line_dedup, pieces, quality, simhash
 from quillgrid.session import spread_rows
 
 
@@ -17,6 +17,10 @@ def op9_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_sentencepiece(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = pieces.encode(documents, "text", ("doc_id", "text"), decoded=True)
@@ -48,5 +52,5 @@ def op10_language_id(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op4_sentencepiece, op5_benchmark_decontamination, op6_simhash_near_dedup, op9_quality_rules, op10_language_id)}
+LLM_QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_sentencepiece, op5_benchmark_decontamination, op6_simhash_near_dedup, op9_quality_rules, op10_language_id)}
 LLM_ORACLE: dict[str, str] = {}
