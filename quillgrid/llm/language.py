@@ -21,8 +21,10 @@ training but not counted as held out; other columns do not matter.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,11 @@ LEARNING_RATE = 0.02
 SEGMENT = 24
 FOLDS = 5
 UNKNOWN = "und"
-WORDS_HELD = 300_000
+WORDS_HELD = 500_000
 SLICE_CHARS = 1 << 20
-SCORED_AT_ONCE = 4096
+SCORED_AT_ONCE = 2048
+SCORED_TOGETHER = 50_000
+WORDS_WAITING = 2_000_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -231,39 +235,60 @@ class WordScores:
                 own = np.array(owners[k:k + SCORED_AT_ONCE])
                 np.add.at(self.scores, own, np.concatenate([p.sum(axis=0), np.full((len(part), 1), n)], axis=1))
 
-    def total(self, text: str | None) -> np.ndarray:
-        """Sums over all words of the text."""
-        result = np.zeros(len(self.model.languages) + 1)
-        for part in _slices(text or ""):
-            words = part.split()
+    def totals(self, texts: list[str | None]) -> np.ndarray:
+        """Sums over all words of each text. New words are scored many at a time, across texts."""
+        result = np.zeros((len(texts), len(self.model.languages) + 1))
+        waiting: list[tuple[int, np.ndarray]] = []
+        fresh: list[bytes] = []
+        held = 0
+
+        def score() -> None:
+            self._score(fresh, len(self.ids) - len(fresh))
+            for at, words in waiting:
+                result[at] += self.scores[words].sum(axis=0)
+            waiting.clear()
+            fresh.clear()
             if len(self.ids) > self.held:
                 self._empty()
-            known = len(self.ids)
-            ids, fresh = self.ids, []
-            for word in words:
-                if word not in ids:
-                    ids[word] = len(ids)
-                    fresh.append(word)
-            if fresh:
-                self._score(fresh, known)
-            result += self.scores[[ids[w] for w in words]].sum(axis=0)
+
+        for at, text in enumerate(texts):
+            for part in _slices(text or ""):
+                words = part.split()
+                ids = self.ids
+                new = [w for w in set(words) if w not in ids]
+                ids.update(zip(new, range(len(ids), len(ids) + len(new))))
+                fresh += new
+                waiting.append((at, np.fromiter(map(ids.__getitem__, words), np.int32, len(words))))
+                held += len(words)
+                if len(fresh) > SCORED_TOGETHER or held > WORDS_WAITING:
+                    score()
+                    held = 0
+        score()
         return result
 
 
+@lru_cache(maxsize=1)
+def _scores_of(model: bytes) -> WordScores:
+    """One table per worker process, kept from task to task."""
+    return WordScores(pickle.loads(model))
+
+
 def predict(docs: DataFrame, model: ByteTagger | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, lang_pred and score of every document; one pass, no shuffle."""
     kept = docs.select(*keep, F.col(text).alias("__text"))
     schema = kept.drop("__text").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)}).schema
 
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model)) if model else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(model) if model else None
+        scores = _scores_of(sent.value) if sent else None
         for batch in batches:
             names, values = [], []
-            for item in batch.column("__text"):
-                total = scores.total(item.as_py()) if scores else np.zeros(1)
+            texts = [item.as_py() for item in batch.column("__text")]
+            for total in scores.totals(texts) if scores else np.zeros((len(texts), 1)):
                 if total[-1]:
                     best = int(np.argmax(total[:-1]))
-                    names.append(model.languages[best])
+                    names.append(scores.model.languages[best])
                     values.append(min(1.0, float(total[best] / total[-1])))
                 else:
                     names.append(UNKNOWN)
