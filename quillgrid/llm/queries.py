@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillgrid.llm import contamination, language, line_dedup, pieces, quality, simhash
+from quillgrid.llm import contamination, language, line_dedup, pieces, quality, simhash, url_filters, warc
 from quillgrid.session import spread_rows
 
 
@@ -17,6 +17,24 @@ def op9_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
+URL_RULES = [
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
+]
+
+
+def op1_warc(spark, sf_dir):
+    chunks = warc.archive_round_trip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return chunks.where("is_last").select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to",
+        (F.col("chunk_no") + 1).alias("n_chunks"), (F.col("payload_digest") == F.col("declared_digest")).alias("digest_matches"),
+    )
+
+
+def op2_url_filters(spark, sf_dir):
+    judged = url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_line_dedup(spark, sf_dir):
     return line_dedup.line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -52,5 +70,5 @@ def op10_language_id(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_sentencepiece, op5_benchmark_decontamination, op6_simhash_near_dedup, op9_quality_rules, op10_language_id)}
+LLM_QUERIES = {f.__name__: f for f in (op1_warc, op2_url_filters, op3_line_dedup, op4_sentencepiece, op5_benchmark_decontamination, op6_simhash_near_dedup, op9_quality_rules, op10_language_id)}
 LLM_ORACLE: dict[str, str] = {}
