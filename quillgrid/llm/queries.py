@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillgrid.llm import contamination, language, line_dedup, pieces, quality, simhash, url_filters, warc
+from quillgrid.llm import chat, contamination, language, line_dedup, pieces, quality, simhash, url_filters, warc
 from quillgrid.session import spread_rows
 
 
@@ -12,6 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread_rows(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def op7_chat_formatting(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    told = chat.read_conversations(chat.format_windows(turns.union(extra)))
+    return told.select(
+        "conv_id", "n_turns", F.sha2("turns_text", 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def op9_quality_rules(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
@@ -70,5 +81,5 @@ def op10_language_id(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_warc, op2_url_filters, op3_line_dedup, op4_sentencepiece, op5_benchmark_decontamination, op6_simhash_near_dedup, op9_quality_rules, op10_language_id)}
+LLM_QUERIES = {f.__name__: f for f in (op1_warc, op2_url_filters, op3_line_dedup, op4_sentencepiece, op5_benchmark_decontamination, op6_simhash_near_dedup, op7_chat_formatting, op9_quality_rules, op10_language_id)}
 LLM_ORACLE: dict[str, str] = {}
