@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillgrid.llm import chat, contamination, language, line_dedup, pieces, quality, simhash, url_filters, warc
+from quillgrid.llm import chat, contamination, language, line_dedup, personal_data, pieces, quality, simhash, url_filters, warc
 from quillgrid.session import spread_rows
 
 
@@ -23,6 +23,14 @@ def op7_chat_formatting(spark, sf_dir):
     )
 
 
+def op8_pii(spark, sf_dir):
+    found = personal_data.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [personal_data.count_kind("base", kind).alias(f"n_{kind}") for kind in personal_data.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(personal_data.span_text("base"), 256).alias("base_sha256"), personal_data.span_text("spans").alias("spans"),
+    )
+
+
 def op9_quality_rules(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
@@ -81,5 +89,5 @@ def op10_language_id(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_warc, op2_url_filters, op3_line_dedup, op4_sentencepiece, op5_benchmark_decontamination, op6_simhash_near_dedup, op7_chat_formatting, op9_quality_rules, op10_language_id)}
+LLM_QUERIES = {f.__name__: f for f in (op1_warc, op2_url_filters, op3_line_dedup, op4_sentencepiece, op5_benchmark_decontamination, op6_simhash_near_dedup, op7_chat_formatting, op8_pii, op9_quality_rules, op10_language_id)}
 LLM_ORACLE: dict[str, str] = {}
