@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from quillgrid.functions.text import SPACES, space_tokens
-from quillgrid.settings import CLASS_NAMES, PROMPT_TOKENS
+from quillgrid.settings import CLASS_NAMES
 
 # Fixed value: the wording of the prompt, around the class list and the text.
 PROMPT_HEAD = "Classify the following document into exactly one of these categories: "
@@ -28,9 +28,10 @@ def class_name(label: Column, names: dict[int, str] = CLASS_NAMES) -> Column:
     return F.coalesce(F.element_at(lookup, code), text)
 
 
-def prompt(text: Column, classes: Sequence[str]) -> Column:
-    """The prompt for one document, cut to its first words."""
-    head = F.array_join(F.slice(space_tokens(text), 1, PROMPT_TOKENS), " ")
+def prompt(text: Column, classes: Sequence[str], max_tokens: int | None = None) -> Column:
+    """The prompt for one document; ``max_tokens`` cuts it to its first words."""
+    words = space_tokens(text)
+    head = F.array_join(words if max_tokens is None else F.slice(words, 1, max_tokens), " ")
     return F.concat(F.lit(PROMPT_HEAD + ", ".join(classes) + PROMPT_DOCUMENT), head, F.lit(PROMPT_RULES))
 
 

@@ -9,8 +9,6 @@ block, group or task grows with the data, only their number does.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
@@ -19,10 +17,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quillgrid.session import spread_groups
 from quillgrid.settings import KNN_K
 
-# Larger blocks repeat fewer rows; small inputs are cut so that every core has a block.
+# Larger blocks repeat fewer rows; a slice of a block is what is compared at once.
 BLOCK_ROWS = 20_000
-SMALL_BLOCK_ROWS = 500
-DENSE_ROWS = 512
+SLICE_ROWS = 512
 
 
 def sparse_parts(features: Column) -> list[Column]:
@@ -39,48 +36,58 @@ def dense_parts(vector: Column) -> list[Column]:
     ]
 
 
-def _unit_rows(part: pd.DataFrame) -> np.ndarray:
-    """Rows as a dense matrix of unit length; a zero row stays zero."""
-    width = int(part["size"].max())
-    matrix = np.zeros((len(part), width))
-    for row, (indices, values) in enumerate(zip(part["indices"], part["values"])):
-        if indices is None:
-            matrix[row, : len(values)] = values
-        else:
-            matrix[row, indices] = values
-    norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
-    return matrix / np.where(norms > 0, norms, 1.0)[:, None]
+def _unit_cells(part: pd.DataFrame) -> list[tuple[np.ndarray | None, np.ndarray]]:
+    """(indices, values) of each row at unit length; indices are None for a dense row, a zero row stays zero."""
+    rows = []
+    for indices, values in zip(part["indices"], part["values"]):
+        values = np.asarray(values, dtype=np.float64)
+        norm = float(np.sqrt(values @ values))
+        rows.append((None if indices is None else np.asarray(indices), values / norm if norm > 0 else values))
+    return rows
+
+
+def _columns(rows: list[tuple[np.ndarray | None, np.ndarray]], width: int) -> np.ndarray:
+    """A slice of rows as the columns of a dense matrix."""
+    matrix = np.zeros((width, len(rows)))
+    for at, (indices, values) in enumerate(rows):
+        matrix[slice(len(values)) if indices is None else indices, at] = values
+    return matrix
+
+
+def _products(rows: list[tuple[np.ndarray | None, np.ndarray]], columns: np.ndarray) -> np.ndarray:
+    """Products of rows with all columns; a sparse row reads only the lines of its own indices."""
+    return np.stack([values @ columns[slice(len(values)) if indices is None else indices] for indices, values in rows])
 
 
-def _slices(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    for start in range(0, len(part), DENSE_ROWS):
-        yield part.iloc[start : start + DENSE_ROWS]
+def _best(distance: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k least per row, by distance, then by id, so that equal distances have one answer."""
+    order = np.lexsort((ids, distance), axis=1)[:, :k]
+    return tuple(np.take_along_axis(x, order, axis=1) for x in (distance, ids, labels))
 
 
 def _nearest_in_block(k: int):
     def compare(queries: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found = {"id": np.array([], "int64"), "train_id": np.array([], "int64"), "label": np.array([], "int32"), "distance": np.array([])}
         if len(queries) and len(train):
-            for q in _slices(queries):
-                unit_queries = _unit_rows(q)
-                for t in _slices(train):
-                    distance = np.round(1.0 - unit_queries @ _unit_rows(t).T, 9)
-                    ids = t["id"].to_numpy()
-                    labels = t["label"].to_numpy()
-                    # Order by distance, then by id, so that equal distances have one answer.
-                    order = np.lexsort((np.broadcast_to(ids, distance.shape), distance), axis=1)[:, :k]
-                    found.append(pd.DataFrame({
-                        "id": np.repeat(q["id"].to_numpy(), order.shape[1]),
-                        "train_id": ids[order].ravel(),
-                        "label": labels[order].ravel(),
-                        "distance": np.take_along_axis(distance, order, axis=1).ravel(),
-                    }))
-        if not found:
-            return pd.DataFrame({
-                "id": np.array([], "int64"), "train_id": np.array([], "int64"),
-                "label": np.array([], "int32"), "distance": np.array([], "float64"),
-            })
-        return pd.concat(found, ignore_index=True)
+            width = max(int(queries["size"].max()), int(train["size"].max()))
+            left, right = _unit_cells(queries), _unit_cells(train)
+            ids, labels = train["id"].to_numpy(), train["label"].to_numpy()
+            kept: list = [None] * -(-len(left) // SLICE_ROWS)
+            for at in range(0, len(right), SLICE_ROWS):
+                columns = _columns(right[at:at + SLICE_ROWS], width)
+                for number in range(len(kept)):
+                    products = _products(left[number * SLICE_ROWS:(number + 1) * SLICE_ROWS], columns)
+                    distance = np.round(1.0 - products, 9)
+                    now = _best(distance, *(np.broadcast_to(x[at:at + SLICE_ROWS], distance.shape) for x in (ids, labels)), k)
+                    # The best so far and the new ones: k rows per query leave a slice, and the block.
+                    both = now if kept[number] is None else tuple(np.concatenate(x, axis=1) for x in zip(kept[number], now))
+                    kept[number] = _best(*both, k)
+            distance, train_ids, train_labels = (np.concatenate(x) for x in zip(*kept))
+            found = {
+                "id": np.repeat(queries["id"].to_numpy(), distance.shape[1]), "train_id": train_ids.ravel(),
+                "label": train_labels.ravel(), "distance": distance.ravel(),
+            }
+        return pd.DataFrame(found)
 
     return compare
 
@@ -93,10 +100,8 @@ def nearest_neighbours(
     Both inputs have ``id, size, indices, values``; ``train`` also an integer
     ``label``. The result is the same for any block size.
     """
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    train_rows = train.count()
     query_blocks = max(1, -(-queries.count() // block_rows))
-    train_blocks = max(1, -(-train_rows // block_rows), min(cores, train_rows // SMALL_BLOCK_ROWS))
+    train_blocks = max(1, -(-train.count() // block_rows))
 
     def numbers(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

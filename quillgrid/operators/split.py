@@ -74,20 +74,25 @@ def class_cuts(
     return reached.groupBy("class").agg(*[F.max(F.when(F.col("cut") == c, F.col("at"))).alias(c) for c in names])
 
 
+COUNT = "decimal(19,0)"
+
+
 def _apportion(classes: DataFrame, size: str, total: str, keep: str, out: str) -> DataFrame:
     """Share ``keep`` of ``total`` rows among classes by largest remainder.
 
-    Windows run over one row per class.
+    Windows run over one row per class. Products of two row counts are decimals:
+    they outgrow a long from some billions of rows on.
     """
-    share = F.col(size) * F.col(keep)
+    share = F.col(size).cast(COUNT) * F.col(keep).cast(COUNT)
     missing = F.col(keep) - F.sum("_floor").over(Window.partitionBy())
     by_remainder = Window.orderBy(F.col("_rest").desc(), F.col("class"))
     return (
-        classes.withColumn("_floor", F.expr(f"({size} * {keep}) div {total}"))
-        .withColumn("_rest", share % F.col(total))
+        classes.withColumn("_share", share)
+        .withColumn("_floor", F.expr(f"_share div cast({total} as {COUNT})"))
+        .withColumn("_rest", F.col("_share") % F.col(total).cast(COUNT))
         .withColumn("_extra", (F.row_number().over(by_remainder) <= missing).cast("long"))
         .withColumn(out, F.col("_floor") + F.col("_extra"))
-        .drop("_floor", "_rest", "_extra")
+        .drop("_share", "_floor", "_rest", "_extra")
     )
 
 

@@ -54,9 +54,10 @@ def classify(
     load: Callable[[], Generator],
     text_column: str = "text_clean",
     batch_size: int = settings.ZERO_SHOT_BATCH,
+    max_tokens: int | None = None,
 ) -> DataFrame:
-    """Add ``prompt, reply, class_name, prediction, status`` to every row."""
-    replied = df.withColumn("prompt", prompt(F.col(text_column), classes)).withColumn(
+    """Add ``prompt, reply, class_name, prediction, status`` to every row; prompts hold whole texts unless ``max_tokens`` is given."""
+    replied = df.withColumn("prompt", prompt(F.col(text_column), classes, max_tokens)).withColumn(
         "reply", generate(load, batch_size)(F.col("prompt"))
     )
     answer = read_reply(F.col("reply"), classes)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillgrid import settings
 from quillgrid.functions.replies import class_name, prompt, read_reply
 from quillgrid.functions.text import clean_text, pattern_tokens, space_tokens, tokens, word_ngrams
 from quillgrid.operators import classifiers, compare, features, neighbours
@@ -427,7 +428,7 @@ def load_stop_word_model():
 
 
 def zero_shot_prompt(spark, sf_dir):
-    return corpus(spark, sf_dir).select("doc_id", prompt(F.col("text_clean"), LANGUAGES).alias("prompt"))
+    return corpus(spark, sf_dir).select("doc_id", prompt(F.col("text_clean"), LANGUAGES, settings.PROMPT_TOKENS).alias("prompt"))
 
 
 def zero_shot_parse(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,7 +17,6 @@ HEADER_CELLS = 3
 HEADER_CELL_LENGTH = 40
 
 CORRUPT = "_corrupt"
-MAX_FILE_BYTES = 256 * 1024 * 1024
 
 
 def separator_of(line: Column) -> Column:
@@ -47,55 +47,44 @@ class Layout:
 
 
 def sniff(spark: SparkSession, path: str) -> Layout:
-    """Layout of a file, or of the first file of a folder; one line reaches the driver."""
+    """Layout of a file, or of the first file of a folder, by its first line with text, which reaches the driver."""
     lines = spark.read.text(path)
     files = sorted(lines.inputFiles())
     if not files:
         raise FileNotFoundError(f"no data at {path}")
-    first = spark.read.text(files[0]).select(F.col("value").alias("line")).limit(1)
+    whole = F.regexp_replace("value", "^\ufeff", "").alias("line")
+    first = spark.read.text(files[0]).select(whole).where(F.trim("line") != "").limit(1)
     row = first.select("line", separator_of(F.col("line")).alias("separator")).first()
     if row is None:
         raise ValueError(f"empty file: {files[0]}")
     named = first.select(is_header(F.col("line"), row.separator).alias("named")).first().named
-    cells = spark.read.csv(files[0], sep=row.separator, quote='"', escape='"', multiLine=True).first()
-    columns = tuple(str(c or "").strip() for c in cells) if named else tuple(f"col{i}" for i in range(len(cells)))
+    # Names are those of the first line: a name with a line break in it is not supported.
+    cells = next(csv.reader([row.line], delimiter=row.separator))
+    columns = tuple(c.strip() for c in cells) if named else tuple(f"col{i}" for i in range(len(cells)))
     return Layout(row.separator, named, columns)
 
 
-def largest_file(spark: SparkSession, path: str) -> int:
-    """Bytes of the largest file; only metadata is read."""
-    return spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
-
-
-def scan_delimited(spark: SparkSession, path: str, layout: Layout | None = None, records: str = "auto") -> DataFrame:
+def scan_delimited(spark: SparkSession, path: str, layout: Layout | None = None) -> DataFrame:
     """All cells as text, missing-value tokens as NULL.
 
-    A row with too many cells is dropped; a short row is filled up with NULL.
-    ``records`` says how rows are found. ``files`` and ``split`` allow line breaks
-    inside quotes: the first gives each file to one task, the second cuts files;
-    ``auto`` takes the second once a file is larger than a task should get.
-    ``lines`` takes each line as a row.
+    A row with too many cells is dropped; a short row is filled up with NULL; a
+    row whose quote is never closed is dropped. Files are cut into splits at any
+    line, also inside quotes. Files of a folder share one layout: one with another
+    header fails the scan.
     """
     layout = layout or sniff(spark, path)
-    if records == "auto":
-        records = "files" if largest_file(spark, path) <= MAX_FILE_BYTES else "split"
     width = len(layout.columns)
     fields = [StructField(f"c{i}", StringType()) for i in range(width)] + [StructField(CORRUPT, StringType())]
-    schema = StructType(fields)
-    if records == "split":
-        found = read_records(spark, path, layout.separator).where(F.trim("record") != "")
-        if layout.header:
-            found = found.where(~F.col("is_first"))
-        options = {
-            "sep": layout.separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
-        }
-        cells = ", ".join(f"{f.name} string" for f in fields)
-        raw = found.select(F.from_csv("record", cells, options).alias("row")).select("row.*")
-    else:
-        raw = spark.read.csv(
-            path, schema=schema, sep=layout.separator, header=layout.header, quote='"', escape='"',
-            multiLine=records == "files", mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True, encoding="UTF-8",
-        )
+    options = {
+        "sep": layout.separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true", "columnNameOfCorruptRecord": CORRUPT,
+    }
+    cells = ", ".join(f"{f.name} string" for f in fields)
+    found = read_records(spark, path, layout.separator).where(F.trim("record") != "")
+    raw = found.select("is_first", F.from_csv("record", cells, options).alias("row")).select("is_first", "row.*")
+    if layout.header:
+        same = F.array(*[F.trim(F.coalesce(f"c{i}", F.lit(""))) for i in range(width)]) == F.array(*map(F.lit, layout.columns))
+        another = F.raise_error(F.lit(f"a file at {path} has another header than {layout.columns}")).cast("boolean")
+        raw = raw.where(F.when(F.col("is_first"), F.when(same, F.lit(False)).otherwise(another)).otherwise(True))
     # The record of a row whose number of cells is wrong: parse it again with one more cell.
     wide = ", ".join(f"c{i} string" for i in range(width + 1))
     again = F.from_csv(F.col(CORRUPT), wide, {"sep": layout.separator, "quote": '"', "escape": '"', "multiLine": "true"})
@@ -143,13 +132,13 @@ def infer_columns(df: DataFrame, candidates: list[str] | None = None) -> tuple[s
     return text, label
 
 
-def load_corpus(spark: SparkSession, path: str, id_column: str | None = None, records: str = "auto") -> DataFrame:
+def load_corpus(spark: SparkSession, path: str, id_column: str | None = None) -> DataFrame:
     """``(doc_id, label, text, text_clean)`` of a delimited file.
 
     Without an id column rows are numbered in scan order. The number depends on
     how the files are cut into tasks: store the corpus before using it twice.
     """
-    scanned = scan_delimited(spark, path, records=records)
+    scanned = scan_delimited(spark, path)
     candidates = [c for c in scanned.columns if c != id_column]
     text, label = infer_columns(scanned, candidates)
     if id_column is None:

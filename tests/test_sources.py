@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.plans.analysis import analyse
 from quillgrid.sinks.runs import export_runs, meta_frame, meta_lines, write_runs
-from quillgrid.sources import delimited
-from quillgrid.sources.delimited import infer_columns, largest_file, load_corpus, scan_delimited, sniff
+from quillgrid.sources.delimited import infer_columns, load_corpus, scan_delimited, sniff
 from quillgrid.sources.runs import pipeline_of, scan_runs, scan_scaling, scored_runs, typed_runs
 
 EDGE_CASES = (
@@ -20,9 +19,8 @@ def write(path, data):
     return str(path)
 
 
-@pytest.mark.parametrize("records", ["split", "files"])
-def test_edge_cases(spark, tmp_path, records):
-    rows = [tuple(r) for r in scan_delimited(spark, write(tmp_path / "c.csv", EDGE_CASES), records=records).collect()]
+def test_edge_cases(spark, tmp_path):
+    rows = [tuple(r) for r in scan_delimited(spark, write(tmp_path / "c.csv", EDGE_CASES)).collect()]
     expected = [
         ('a, "q" line1\nline2', "0"), ("short", None), (None, "2"), ("   ", "3"),
         ("bad � byte", "4"), (None, "1"), (None, "2"),
@@ -47,7 +45,7 @@ def test_quoted_line_breaks_over_splits(spark, tmp_path, split_bytes):
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
-        found = scan_delimited(spark, str(tmp_path), sniff(spark, str(tmp_path)), "split").collect()
+        found = scan_delimited(spark, str(tmp_path), sniff(spark, str(tmp_path))).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
@@ -58,14 +56,41 @@ def test_quoted_line_breaks_over_splits(spark, tmp_path, split_bytes):
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
 
 
-def test_large_files_are_split(spark, tmp_path, monkeypatch):
-    path = write(tmp_path / "c.csv", EDGE_CASES)
-    assert largest_file(spark, str(tmp_path)) == len(EDGE_CASES)
-    whole = sorted(map(str, scan_delimited(spark, path).collect()))
-    monkeypatch.setattr(delimited, "MAX_FILE_BYTES", 10)
-    scanned = scan_delimited(spark, path)
-    assert "FileScan text" in scanned._jdf.queryExecution().executedPlan().toString()
-    assert sorted(map(str, scanned.collect())) == whole
+@pytest.fixture
+def split_bytes(spark, request):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(request.param))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield request.param
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("split_bytes", [8, 64, 1 << 20], indirect=True)
+@pytest.mark.parametrize("data, expected", [
+    (b"Text,Label\rone,1\rtwo,2\r", [("one", "1"), ("two", "2")]),
+    (b"\n \nText,Label\none,1\n\n", [("one", "1")]),
+    (b'Text,Label\r\n"a\r\nb",1\r\nc,2\r\n', [("a\r\nb", "1"), ("c", "2")]),
+    (b'Text,Label\na,1\n"never closed,2\nb,3\n' + b"more,4\n" * 40, [("a", "1")]),
+    (b'\xef\xbb\xbfText,Label\n\xff,1\n', [("\ufffd", "1")]),
+    (b'Text,Label\na,1\rb,2\nc,3', [("a", "1"), ("b", "2"), ("c", "3")]),
+])
+def test_bytes_of_files(spark, tmp_path, data, expected, split_bytes):
+    path = write(tmp_path / "c.csv", data)
+    assert sniff(spark, path).columns == ("Text", "Label")
+    assert sorted(map(tuple, scan_delimited(spark, path).collect())) == expected
+
+
+def test_files_of_a_folder_share_a_layout(spark, tmp_path):
+    write(tmp_path / "a.csv", b"Text,Label\none,1\n")
+    write(tmp_path / "b.csv", b"Label,Text\n2,two\n")
+    with pytest.raises(Exception, match="another header"):
+        scan_delimited(spark, str(tmp_path)).collect()
+
+
+def test_headerless_files_are_numbered(spark, tmp_path):
+    write(tmp_path / "a.csv", b"0,hello there\n1,you\n")
+    scanned = scan_delimited(spark, str(tmp_path))
+    assert scanned.columns == ["col0", "col1"] and sorted(map(tuple, scanned.collect())) == [("0", "hello there"), ("1", "you")]
 
 
 def test_prepared_edge_cases(spark, tmp_path):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.operators.prepare import encode_labels, label_dictionary
-from quillgrid.operators.split import sample_rows, stratified_folds, stratified_split
+from quillgrid.operators.split import split_quotas, sample_rows, stratified_folds, stratified_split
 
 
 def rows(spark, sizes):
@@ -71,3 +71,11 @@ def test_codes_follow_the_type_of_the_label(spark):
     assert {r.label: r.label_enc for r in label_dictionary(numbers).collect()} == {2: 0, 10: 1, 33: 2}
     unknown = spark.createDataFrame([(2,), (99,)], "label int")
     assert {r.label: r.label_enc for r in encode_labels(unknown, label_dictionary(numbers)).collect()} == {2: 0, 99: None}
+
+
+def test_quotas_of_more_rows_than_a_product_of_longs_holds(spark):
+    counts = spark.createDataFrame([("a", 40_000_000_000), ("b", 100), ("c", 9_999_999_999)], "class string, n long")
+    quotas = {r["class"]: r for r in split_quotas(counts).collect()}
+    assert sum(r.n for r in quotas.values()) == 50_000_000_099
+    assert sum(r.test for r in quotas.values()) == quotas["a"].n_test == 10_000_000_020
+    assert abs(quotas["a"].test - 8_000_000_000) <= 1 and quotas["b"].test == 20

@@ -72,7 +72,7 @@ def test_replies(spark, reply, name, status):
 
 
 def test_prompt_is_cut_to_words(spark):
-    text = value(spark, " ".join(f"w{i}" for i in range(300)), lambda t: prompt(t, CLASSES))
+    text = value(spark, " ".join(f"w{i}" for i in range(300)), lambda t: prompt(t, CLASSES, 256))
     assert "w255" in text and "w256" not in text
     assert "categories: business, entertainment, politics, sport, tech." in text
 
