@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from dataclasses import dataclass
 from typing import Any
 
@@ -10,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from quillgrid.operators.features import read_features, vector_schema
-from quillgrid.session import shared_dir
+from quillgrid.session import scratch_path, shared_dir
 
 # Fixed value: hex digits of a row hash that are added up.
 DIGEST_DIGITS = 15
@@ -36,23 +37,36 @@ class FeatureCache:
     def shared(df: DataFrame) -> "FeatureCache":
         return FeatureCache(f"{shared_dir(df.sparkSession).rstrip('/')}/quillgrid/features")
 
-    def key(self, corpus: DataFrame, extractor: Any) -> str:
-        parts = sorted(f"{r.split}:{r.n_rows}:{r.digest}" for r in fingerprint(corpus).collect())
-        return hashlib.md5("|".join([repr(extractor), *parts]).encode()).hexdigest()[:12]
+    def digest(self, corpus: DataFrame) -> str:
+        """Of all rows: computed once for all extractors of a run."""
+        return "|".join(sorted(f"{r.split}:{r.n_rows}:{r.digest}" for r in fingerprint(corpus).collect()))
 
-    def load_or_extract(self, corpus: DataFrame, extractor: Any) -> tuple[DataFrame, bool]:
+    def load_or_extract(
+        self, corpus: DataFrame, extractor: Any, digest: str | None = None, use_cache: bool = True,
+        times: dict[str, float] | None = None,
+    ) -> tuple[DataFrame, bool]:
         """``(features, hit)`` with ``doc_id, label_enc, features, split``.
 
         The extractor is fitted on training rows only. A marker table is written
-        after the features, so a broken write is not taken for a hit.
+        after the features, so a broken write is not taken for a hit. Without
+        ``use_cache`` the features are made anew in a folder of their own.
+        ``times`` gets the seconds of each step that ran.
         """
         spark = corpus.sparkSession
-        path = f"{self.root}/{extractor.name}-{self.key(corpus, extractor)}"
-        hit = _exists(spark, f"{path}-done")
+        digest = digest if digest is not None else self.digest(corpus)
+        key = hashlib.md5(f"{extractor!r}|{digest}".encode()).hexdigest()[:12]
+        path = f"{self.root}/{extractor.name}-{key}" if use_cache else scratch_path(spark, f"fresh-{extractor.name}")
+        hit = use_cache and _exists(spark, f"{path}-done")
         if not hit:
-            train = corpus.where(F.col("split") == "train")
-            wide = extractor.fit(train).transform(corpus).select("doc_id", "label_enc", "features", "split")
-            wide.write.mode("overwrite").partitionBy("split").parquet(path)
+            start = time.perf_counter()
+            model = extractor.fit(corpus.where(F.col("split") == "train"))
+            for part, step in (("train", "fit_transform"), ("val", "transform_val"), ("test", "transform_test")):
+                wide = model.transform(corpus.where(F.col("split") == part)).select("doc_id", "label_enc", "features", "split")
+                wide.write.mode("overwrite" if part == "train" else "append").partitionBy("split").parquet(path)
+                now = time.perf_counter()
+                if times is not None:
+                    times[f"feature_{step}_time"] = now - start
+                start = now
             spark.range(1).withColumnRenamed("id", "done").write.mode("overwrite").parquet(f"{path}-done")
         stored = spark.read.parquet(path)
         return read_features(spark, path, vector_schema(stored)), hit

@@ -11,7 +11,6 @@ from typing import Any
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from quillgrid import settings
 from quillgrid.operators.cache import FeatureCache
 from quillgrid.operators.evaluate import evaluate
 from quillgrid.operators.prepare import encode_labels, label_dictionary
@@ -49,11 +48,16 @@ def grid_cells(options: DataFrame, feature: str = "feature", model: str = "model
     return sets.select(F.explode("features").alias("feature"), "models").select("feature", F.explode("models").alias("model"))
 
 
-def run_cell(features: DataFrame, fit: Fit) -> dict[str, Any]:
-    """Train on the training rows, score validation and test rows in one pass each."""
+def run_cell(features: DataFrame, fit: Fit, train: DataFrame | None = None) -> dict[str, Any]:
+    """Train on the training rows, score validation and test rows in one pass each.
+
+    ``train`` gives training rows that the caller keeps in memory for several
+    cells; without it they are kept for this cell.
+    """
     row: dict[str, Any] = {}
     parts = {name: features.where(F.col("split") == name) for name in ("train", "val", "test")}
-    train = parts["train"].persist(StorageLevel.MEMORY_AND_DISK)
+    own = train is None
+    train = parts["train"].persist(StorageLevel.MEMORY_AND_DISK) if own else train
     try:
         with timed("train", row):
             model = fit(train, parts["val"])
@@ -62,7 +66,8 @@ def run_cell(features: DataFrame, fit: Fit) -> dict[str, Any]:
                 scores = evaluate(model.transform(parts[name]), (), "label_enc", "prediction").first()
             row.update({f"{name}_{metric}": scores[metric] for metric in ("accuracy", "f1_macro", "f1_weighted")})
     finally:
-        train.unpersist()
+        if own:
+            train.unpersist()
     return row
 
 
@@ -85,48 +90,58 @@ def run_grid(
     fits: Mapping[str, Fit] | None = None,
     generators: Mapping[str, Callable[[], Generator]] | None = None,
     parallel_cells: int = 1,
+    use_cache: bool = True,
+    zero_shot_sample: int | None = None,
 ) -> DataFrame:
     """Run rows of a split corpus in the fixed run schema.
 
     Features are extracted once per extractor and shared by its models. Cells of
-    one extractor may overlap: Spark schedules their jobs side by side.
+    one extractor may overlap: Spark schedules their jobs side by side, and their
+    training rows are kept in memory until the last of them is done. Without
+    ``use_cache`` features are made anew, so their times are those of the work.
+    Zero-shot rows are scored on all test rows, or on ``zero_shot_sample`` of them.
     """
     extractors = extractors or {name: make() for name, make in EXTRACTORS[variant].items()}
     fits = fits or MODELS[variant]
     cache = FeatureCache.shared(corpus)
+    digest = cache.digest(corpus) if use_cache else ""
     rows: list[dict[str, Any]] = []
     with ThreadPoolExecutor(max_workers=max(1, parallel_cells)) as pool:
         for feature in features or list(extractors):
             times: dict[str, float] = {}
-            failure, stored = None, None
+            failure, stored, train = None, None, None
             try:
-                with timed("feature_fit_transform", times):
-                    stored, _ = cache.load_or_extract(corpus, extractors[feature])
+                with timed("feature", times):
+                    stored, _ = cache.load_or_extract(corpus, extractors[feature], digest, use_cache, times)
+                train = stored.where(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
             except Exception as error:
                 failure = error
 
-            def cell(model: str, stored=stored, failure=failure, times=times) -> dict[str, Any]:
+            def cell(model: str, stored=stored, train=train, failure=failure, times=times) -> dict[str, Any]:
                 if failure is not None:
                     raise failure
-                return {**times, **run_cell(stored, fits[model])}
+                return {**times, **run_cell(stored, fits[model], train)}
 
             chosen = list(models or fits)
             rows.extend(pool.map(
                 lambda model, feature=feature, cell=cell: _guarded(variant, feature, model, lambda: cell(model)), chosen
             ))
+            if train is not None:
+                train.unpersist()
     for name, load in (generators or {}).items():
-        rows.append(_guarded(variant, RAW_TEXT, name, lambda load=load: run_zero_shot(corpus, load)))
+        rows.append(_guarded(variant, RAW_TEXT, name, lambda load=load: run_zero_shot(corpus, load, zero_shot_sample)))
     spark = corpus.sparkSession
     ordered = [tuple(row.get(field.name) for field in RUN_SCHEMA.fields) for row in rows]
     return spark.createDataFrame(ordered, RUN_SCHEMA)
 
 
-def run_zero_shot(corpus: DataFrame, load: Callable[[], Generator]) -> dict[str, Any]:
-    """Scores of a sample of the test rows."""
+def run_zero_shot(corpus: DataFrame, load: Callable[[], Generator], size: int | None = None) -> dict[str, Any]:
+    """Scores of all test rows, or of a sample of ``size`` of them."""
     row: dict[str, Any] = {}
     with timed("train", row):
         classes = class_list(materialize(corpus.select("label", "label_enc").distinct(), "classes"))
-    sample = sample_rows(corpus.where(F.col("split") == "test"), "doc_id", settings.ZERO_SHOT_SAMPLE)
+    test = corpus.where(F.col("split") == "test")
+    sample = test if size is None else sample_rows(test, "doc_id", size)
     with timed("inference_test", row):
         scores = evaluate(classify(sample, classes, load), (), "label_enc", "prediction").first()
     row.update({f"test_{metric}": scores[metric] for metric in ("accuracy", "f1_macro", "f1_weighted")})

@@ -22,9 +22,10 @@ LOGREG_C = 1.0
 LOGREG_MAX_ITER = 1000
 LOGREG_TOLERANCE = 1e-4
 FOREST_TREES = 200
-FOREST_MAX_DEPTH = 16
+FOREST_MAX_DEPTH = 30
 BOOST_ROUNDS = 200
 BOOST_ROUNDS_EARLY_STOP = 500
+BOOST_PATIENCE = 20
 BOOST_DEPTH = 6
 BOOST_ETA = 0.1
 SVM_C = 1.0
@@ -40,6 +41,7 @@ ZERO_SHOT_SAMPLE = 500
 ZERO_SHOT_BATCH = 4
 PROMPT_TOKENS = 256
 
+# Names of class codes, and the column names that are known by themselves.
 CLASS_NAMES = {0: "politics", 1: "sport", 2: "tech", 3: "entertainment", 4: "business"}
 
 TEXT_COLUMN_NAMES = (

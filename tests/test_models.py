@@ -40,9 +40,32 @@ def test_model_beats_the_majority(parts, name):
     assert np.mean([r.label_enc == r.prediction for r in rows]) > majority + 0.1
 
 
-def test_early_stopping_stops(parts):
-    model = classifiers.fit_boosted_trees_early_stop(parts["train"], parts["val"], rounds=12, tolerance=0.5)
-    assert all(m.getNumTrees < 12 for m in model.models)
+def test_best_round_is_not_the_last():
+    assert classifiers.best_round([0.9, 0.5, 0.6, 0.4, 0.7, 0.7, 0.7], 3) == (4, True)
+    assert classifiers.best_round([0.9, 0.5, 0.6, 0.4, 0.7, 0.7], 3) == (4, False)
+    assert classifiers.best_round([0.9, 0.5, 0.6, 0.6, 0.4], 2) == (2, True)
+
+
+def test_early_stopping_keeps_the_best_rounds(parts):
+    patience = 2
+    model = classifiers.fit_boosted_trees_early_stop(parts["train"], parts["val"], rounds=6, depth=3, patience=patience)
+    for c, trees in enumerate(model.models):
+        held = parts["val"].select("features", (F.col("label_enc") == c).cast("double").alias("_y"))
+        losses = trees.evaluateEachIteration(held)
+        assert trees.getNumTrees == len(losses) <= 6 and losses[-1] == min(losses)
+
+
+def test_block_gives_k_rows_per_query():
+    import pandas as pd
+
+    from quillgrid.operators import neighbours
+
+    rng = __import__("numpy").random.default_rng(0)
+    def rows(n):
+        return pd.DataFrame({"id": range(n), "label": [0] * n, "size": [4] * n, "indices": [None] * n, "values": list(rng.random((n, 4)))})
+    for n in (3, 2_000):
+        found = neighbours._nearest_in_block(5)(rows(7), rows(n))
+        assert found.groupby("id").size().tolist() == [min(5, n)] * 7
 
 
 def test_complement_weights(spark):
