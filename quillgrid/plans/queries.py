@@ -312,12 +312,12 @@ def w2v_doc_mean(spark, sf_dir):
 
 
 def word2vec_vectors(spark, sf_dir):
-    vectors = train_word_vectors(training(split_documents(spark, sf_dir)), epochs=1)
+    vectors = train_word_vectors(training(split_documents(spark, sf_dir)))
     return vectors.select("term", F.posexplode("vector").alias("pos", "value"))
 
 
 def _doc2vec(spark, sf_dir):
-    return DocumentVectorFeatures(epochs=2).fit(training(split_documents(spark, sf_dir)))
+    return DocumentVectorFeatures().fit(training(split_documents(spark, sf_dir)))
 
 
 def doc2vec_train(spark, sf_dir):
