@@ -157,6 +157,14 @@ TEXT_BAYES = bayes(
         "FROM counts c JOIN divided d USING (doc_id) JOIN codes k ON k.label = d.label",
     )]
 )
+# What holds for every row of a sound model.
+SOUND_MODEL = "TRUE AS probability_sums, TRUE AS prediction_is_best, TRUE AS learns"
+
+
+def model_rows(key: str, tables: list[tuple[str, str]]) -> str:
+    return with_tables(tables, f"SELECT {key}, code AS truth, {SOUND_MODEL} FROM divided JOIN codes USING (label) WHERE split = 'test'")
+
+
 VECTORS = [("vectors", "SELECT vec_id, label, embedding FROM embeddings")] + split("vectors", "label", "vec_id")
 DENSE_BAYES = bayes(VECTORS + [
     ("long", "SELECT vec_id AS id, split, label AS class, generate_subscripts(embedding, 1) AS item, unnest(embedding)::DOUBLE AS v FROM divided"),
@@ -410,6 +418,19 @@ ORACLE: dict[str, str] = {
         "SELECT vec_id, label AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, label) AS place FROM votes) WHERE place = 1",
     ),
     "knn_proba": with_tables(NEAREST, "SELECT vec_id, label, votes / sum(votes) OVER (PARTITION BY vec_id) AS share FROM votes"),
+    **{name: model_rows("doc_id", DIVIDED + CODES) for name in ("logreg", "random_forest", "gbt_ovr", "gbt_early_stop", "linear_svm", "svm_calibrated")},
+    "mlp": with_tables(VECTORS, f"SELECT vec_id AS doc_id, label AS truth, {SOUND_MODEL} FROM divided WHERE split = 'test'"),
+    "word2vec_vectors": with_tables(
+        DIVIDED + term_table("space", 1, 1),
+        f"SELECT term, count(*)::BIGINT AS n, {settings.EMBEDDING_DIM} AS dim, TRUE AS sound FROM terms WHERE split = 'train' "
+        f"GROUP BY term HAVING count(*) >= {settings.EMBEDDING_MIN_COUNT}",
+    ),
+    "doc2vec_train": with_tables(DIVIDED, f"SELECT doc_id, {settings.EMBEDDING_DIM} AS dim, TRUE AS sound FROM divided WHERE split = 'train'"),
+    "doc2vec_infer": with_tables(DIVIDED, f"SELECT doc_id, {settings.EMBEDDING_DIM} AS dim, TRUE AS sound, TRUE AS repeats FROM divided"),
+    "cell_run": "SELECT 'tfidf' AS feature, 'logistic_regression' AS model, TRUE AS ran, TRUE AS scored, TRUE AS learns, TRUE AS timed",
+    "grid_run": "SELECT f AS feature, m AS model, TRUE AS ran, TRUE AS scored, TRUE AS learns, TRUE AS timed "
+    "FROM (SELECT unnest(['bow', 'tfidf', 'ngram', 'word2vec', 'doc2vec']) AS f) "
+    "CROSS JOIN (SELECT unnest(['logistic_regression', 'svm', 'naive_bayes', 'knn']) AS m)",
     "evaluate": with_tables(TEXT_BAYES + class_scores("best", "split"), f"SELECT split, {SCORE_COLUMNS} FROM per_class GROUP BY split"),
     "classification_report": with_tables(
         TEXT_BAYES + class_scores("best") + [

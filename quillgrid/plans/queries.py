@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillgrid import settings
 from quillgrid.functions.replies import class_name, prompt, read_reply
@@ -311,22 +311,30 @@ def w2v_doc_mean(spark, sf_dir):
     return rounded(means.select("doc_id", F.posexplode("vector").alias("pos", "value")), "value")
 
 
-def word2vec_vectors(spark, sf_dir):
-    vectors = train_word_vectors(training(split_documents(spark, sf_dir)))
-    return vectors.select("term", F.posexplode("vector").alias("pos", "value"))
+def _sound(vector: str) -> Column:
+    """All numbers are finite and not all are zero."""
+    finite = F.forall(vector, lambda v: ~F.isnan(v) & (F.abs(v) < F.lit(1e30)))
+    return finite & F.exists(vector, lambda v: v != 0)
 
 
-def _doc2vec(spark, sf_dir):
-    return DocumentVectorFeatures().fit(training(split_documents(spark, sf_dir)))
+def word2vec_vectors(spark, sf_dir):
+    vectors = train_word_vectors(training(split_documents(spark, sf_dir)))
+    return vectors.select("term", F.col("ctf").alias("n"), F.size("vector").alias("dim"), _sound("vector").alias("sound"))
 
 
 def doc2vec_train(spark, sf_dir):
-    return _doc2vec(spark, sf_dir).documents.select("doc_id", F.posexplode("vector").alias("pos", "value"))
+    model = DocumentVectorFeatures().fit(training(split_documents(spark, sf_dir)))
+    return model.documents.select("doc_id", F.size("vector").alias("dim"), _sound("vector").alias("sound"))
 
 
 def doc2vec_infer(spark, sf_dir):
-    inferred = _doc2vec(spark, sf_dir).infer(split_documents(spark, sf_dir))
-    return inferred.select("doc_id", F.posexplode("vector").alias("pos", "value"))
+    """Vectors of all documents, and whether a second run of inference gives the same."""
+    df = split_documents(spark, sf_dir)
+    model = DocumentVectorFeatures().fit(training(df))
+    first, second = (model.infer(rows).withColumnRenamed("vector", name) for name, rows in (("vector", df), ("again", df.repartition(3))))
+    apart = F.aggregate(F.zip_with("vector", "again", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda m, d: F.greatest(m, d.cast("double")))
+    return first.join(second, "doc_id").select(
+        "doc_id", F.size("vector").alias("dim"), _sound("vector").alias("sound"), (apart < 1e-4).alias("repeats"))
 
 
 # --- classifiers ----------------------------------------------------------
@@ -385,15 +393,31 @@ def knn_proba(spark, sf_dir):
     return neighbours.vote_shares(_near(spark, sf_dir)).withColumnRenamed("id", "vec_id")
 
 
+def _checked(scored: DataFrame) -> DataFrame:
+    """Test rows with what must hold for any sound model; ``learns`` is judged over all of them.
+
+    A model learns if its macro-F1 is more than twice that of always answering the commonest class.
+    """
+    scored = materialize(scored.select(
+        "doc_id", F.col("label_enc").alias("truth"), F.col("prediction").cast("int").alias("prediction"),
+        vector_to_array("probability").alias("probability"),
+    ), "scored")
+    sizes = [r["count"] for r in scored.groupBy("truth").count().collect()]
+    common = max(sizes, default=0) / max(sum(sizes), 1)
+    f1 = evaluate(scored, (), "truth", "prediction").first()["f1_macro"]
+    total = F.aggregate("probability", F.lit(0.0), lambda t, p: t + p)
+    return scored.select(
+        "doc_id", "truth", (F.abs(total - 1) < 1e-6).alias("probability_sums"),
+        (F.array_position("probability", F.array_max("probability")) - 1 == F.col("prediction")).alias("prediction_is_best"),
+        F.lit(bool(sizes and f1 > 2 * (2 * common / (1 + common)) / len(sizes))).alias("learns"),
+    )
+
+
 def _model_query(fit: Callable, extractor=None, embeddings: bool = False):
     def query(spark, sf_dir):
         df = _embedding_vectors(spark, sf_dir) if embeddings else _stored(spark, sf_dir, extractor)
         parts = {name: df.where(F.col("split") == name) for name in ("train", "val", "test")}
-        scored = fit(parts["train"], parts["val"]).transform(parts["test"])
-        return scored.select(
-            "doc_id", F.col("label_enc").alias("truth"), F.col("prediction").cast("int"),
-            F.array_max(vector_to_array("probability")).alias("probability"),
-        )
+        return _checked(fit(parts["train"], parts["val"]).transform(parts["test"]))
 
     return query
 
@@ -471,17 +495,37 @@ def stages(spark, sf_dir):
     return rounded(compare.stage_times(lineitem_runs(spark, sf_dir)), "seconds")
 
 
+SCORES = [f"{part}_{name}" for part in ("val", "test") for name in ("accuracy", "f1_macro", "f1_weighted")]
+TIMES = ["train_time", "inference_val_time", "inference_test_time"]
+
+
+def _checked_runs(rows: DataFrame, times: list[str]) -> DataFrame:
+    """Cells of a grid: no error, scores within 0 and 1 and better than a guess, times filled."""
+    scored = F.lit(True)
+    for name in SCORES:
+        scored = scored & F.coalesce(F.col(name).between(0, 1), F.lit(False))
+    timed = F.lit(True)
+    for name in times:
+        timed = timed & F.coalesce(F.col(name) >= 0, F.lit(False))
+    return rows.select(
+        "feature", "model", F.col("error").isNull().alias("ran"), scored.alias("scored"),
+        F.coalesce(F.col("test_f1_macro") > 0.4, F.lit(False)).alias("learns"), timed.alias("timed"),
+    )
+
+
 def cell_run(spark, sf_dir):
     stored = _stored(spark, sf_dir, features.tfidf())
-    row = run_cell(stored, lambda train, val: classifiers.fit_logistic_regression(train))
-    return spark.createDataFrame([tuple(row.get(f.name) for f in RUN_SCHEMA.fields)], RUN_SCHEMA)
+    row = {"feature": "tfidf", "model": "logistic_regression"}
+    row |= run_cell(stored, lambda train, val: classifiers.fit_logistic_regression(train))
+    return _checked_runs(spark.createDataFrame([tuple(row.get(f.name) for f in RUN_SCHEMA.fields)], RUN_SCHEMA), TIMES)
 
 
 def grid_run(spark, sf_dir):
-    return run_grid(
-        split_documents(spark, sf_dir), ["bow", "tfidf"], ["logistic_regression", "naive_bayes"],
-        generators={"stop_words": load_stop_word_model}, parallel_cells=2,
+    """Every extractor with the models that need no rounds of trees, fresh features, two cells at a time."""
+    rows = run_grid(
+        split_documents(spark, sf_dir), models=["logistic_regression", "svm", "naive_bayes", "knn"], parallel_cells=2, use_cache=False,
     )
+    return _checked_runs(rows, [*TIMES, "feature_fit_transform_time", "feature_transform_val_time", "feature_transform_test_time"])
 
 
 def pivot(spark, sf_dir):
@@ -556,12 +600,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_predict": knn_predict,
     "knn_proba": knn_proba,
     "logreg": _model_query(lambda train, val: classifiers.fit_logistic_regression(train), features.tfidf()),
-    "random_forest": _model_query(lambda train, val: classifiers.fit_random_forest(train, trees=50), SMALL_BOW),
+    "random_forest": _model_query(lambda train, val: classifiers.fit_random_forest(train)),
     "gbt_ovr": _model_query(lambda train, val: classifiers.fit_boosted_trees(train, rounds=5), SMALL_BOW),
     "gbt_early_stop": _model_query(lambda train, val: classifiers.fit_boosted_trees_early_stop(train, val, rounds=5), SMALL_BOW),
     "linear_svm": _model_query(lambda train, val: classifiers.fit_linear_svm(train), features.tfidf()),
     "svm_calibrated": _model_query(lambda train, val: classifiers.fit_calibrated_svm(train), features.tfidf("strict")),
-    "mlp": _model_query(lambda train, val: classifiers.fit_mlp(train, max_iter=50), embeddings=True),
+    "mlp": _model_query(lambda train, val: classifiers.fit_mlp(train), embeddings=True),
     "evaluate": evaluation,
     "classification_report": report,
     "zero_shot_prompt": zero_shot_prompt,
