@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 from quillgrid import settings
-from quillgrid.functions.replies import PREFIX_LENGTH, PROMPT_DOCUMENT, PROMPT_HEAD, PROMPT_RULES
-from quillgrid.functions.text import NON_SPACE, SPACE_CHARS, SPACES, TOKEN_PATTERNS
-from quillgrid.operators.cache import DIGEST_DIGITS
 from quillgrid.plans.queries import LANGUAGES, REPLY_CLASSES
 
+# Fixed values, written out here again so that the SQL does not share them with the code it checks.
+SPACE_CHARS = (
+    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+SPACES = f"[{SPACE_CHARS}]+"
+NON_SPACE = f"[^{SPACE_CHARS}]"
+TOKEN_PATTERNS = {"default": r"[a-z0-9]{2,}", "strict": r"\b[a-z][a-z0-9]{2,}\b"}
+PROMPT_HEAD = "Classify the following document into exactly one of these categories: "
+PROMPT_DOCUMENT = ".\n\nDocument:\n"
+PROMPT_RULES = (
+    "\n\nRules:\n- Reply with ONLY the category name.\n"
+    "- Do not add any explanation, punctuation, or extra words.\nCategory:"
+)
+PREFIX_LENGTH = 4
+DIGEST_DIGITS = 15
+
 
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -248,10 +262,8 @@ def reply_columns(reply: str, classes: tuple[str, ...], index_name: str) -> str:
 
 
 WORD_REPLY = (
-    f"CASE WHEN list_contains(({tokens('space')})[1:{settings.PROMPT_TOKENS}], 'the') THEN ' EN ' "
-    f"WHEN list_contains(({tokens('space')})[1:{settings.PROMPT_TOKENS}], 'und') THEN 'it is de' "
-    f"WHEN list_contains(({tokens('space')})[1:{settings.PROMPT_TOKENS}], 'el') THEN 'Es' "
-    f"WHEN list_contains(({tokens('space')})[1:{settings.PROMPT_TOKENS}], 'le') THEN 'fr.' ELSE 'unknown' END"
+    f"CASE WHEN list_contains({tokens('space')}, 'the') THEN ' EN ' WHEN list_contains({tokens('space')}, 'und') THEN 'it is de' "
+    f"WHEN list_contains({tokens('space')}, 'el') THEN 'Es' WHEN list_contains({tokens('space')}, 'le') THEN 'fr.' ELSE 'unknown' END"
 )
 SYNTHETIC_REPLY = (
     "CASE conv_id % 5 WHEN 0 THEN chr(32) || chr(10) || upper(name) || ' ' WHEN 1 THEN 'about ' || name || ' and sport' "
@@ -330,8 +342,10 @@ ORACLE: dict[str, str] = {
     "scan_bad_rows": "SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_custkey % 7 <> 0 AND o_custkey % 11 = 0 THEN NULL ELSE o_orderstatus END AS status, "
     "CASE WHEN o_custkey % 7 = 0 THEN NULL WHEN o_custkey % 11 = 0 THEN o_orderpriority ELSE o_orderpriority || '\"' || chr(10) || ',' END AS priority "
     "FROM orders WHERE o_custkey % 5 <> 0",
+    "scan_headerless": "SELECT o_orderkey::VARCHAR AS col0, o_orderstatus AS col1, o_orderpriority AS col2 FROM orders",
     "infer_columns": profile_sql(),
     "scan_runs": with_tables(STORED_RUNS, "SELECT * FROM stored"),
+    "runs_csv": with_tables(STORED_RUNS, "SELECT * FROM stored"),
     "runs_typed": with_tables(
         STORED_RUNS, "SELECT pipeline, feature, model, test_accuracy, test_f1_macro FROM stored WHERE test_accuracy IS NOT NULL"
     ),

@@ -22,7 +22,7 @@ from quillgrid.operators.word_vectors import mean_word_vectors, train_word_vecto
 from quillgrid.operators.zero_shot import classify, evaluate_sample, hard_probability
 from quillgrid.plans.grid import grid_cells, run_cell, run_grid, split_corpus
 from quillgrid.session import materialize, scratch_path, spread_rows
-from quillgrid.sinks.runs import export_runs
+from quillgrid.sinks.runs import export_runs, write_csv
 from quillgrid.sources.delimited import (
     Layout, column_profile, infer_columns, is_header, load_corpus, scan_delimited, separator_of,
 )
@@ -101,6 +101,14 @@ def scan_bad_rows(spark, sf_dir):
     return scan_delimited(spark, path, Layout(",", False, ("id", "status", "priority")))
 
 
+def scan_headerless(spark, sf_dir):
+    """No header and no layout given: both are found, and columns are numbered."""
+    path = scratch_path(spark, "headerless")
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
+    table(spark, sf_dir, "orders").select(line.alias("value")).write.text(path)
+    return scan_delimited(spark, path)
+
+
 def infer_column_roles(spark, sf_dir):
     df = table(spark, sf_dir, "documents")
     text, label = infer_columns(df)
@@ -147,6 +155,15 @@ def _export_runs(spark, sf_dir):
     return folder
 
 
+def runs_csv(spark, sf_dir):
+    """The summary as CSV and back."""
+    path = scratch_path(spark, "summary-csv")
+    numbers = ("feature_fit_transform_time", "train_time", "test_accuracy", "test_f1_macro")
+    write_csv(lineitem_runs(spark, sf_dir), path)
+    stored = spark.read.csv(path, header=True)
+    return stored.select("pipeline", "feature", "model", *[F.round(F.col(c).cast("double"), DIGITS).alias(c) for c in numbers], "error")
+
+
 def _scanned(spark, sf_dir):
     meta, cells = read_runs(spark, f"{_export_runs(spark, sf_dir)}/results_*.txt")
     return meta, typed_runs(cells, pipeline_of(F.col("path")))
@@ -559,8 +576,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sniff_separator": sniff_separator,
     "detect_header": detect_header,
     "scan_bad_rows": scan_bad_rows,
+    "scan_headerless": scan_headerless,
     "infer_columns": infer_column_roles,
     "scan_runs": scan_runs,
+    "runs_csv": runs_csv,
     "runs_typed": runs_typed,
     "runs_tagged": runs_tagged,
     "runs_export": runs_export,
