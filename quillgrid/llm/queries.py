@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillgrid.llm import chat, contamination, language, line_dedup, personal_data, pieces, quality, simhash, url_filters, warc
+from quillgrid.llm.oracle import LLM_ORACLE as LLM_ORACLE
 from quillgrid.session import spread_rows
 
 
@@ -90,4 +91,3 @@ def op10_language_id(spark, sf_dir):
 
 
 LLM_QUERIES = {f.__name__: f for f in (op1_warc, op2_url_filters, op3_line_dedup, op4_sentencepiece, op5_benchmark_decontamination, op6_simhash_near_dedup, op7_chat_formatting, op8_pii, op9_quality_rules, op10_language_id)}
-LLM_ORACLE: dict[str, str] = {}

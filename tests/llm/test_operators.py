@@ -373,3 +373,34 @@ def test_language_does_not_depend_on_slices_or_table(monkeypatch):
     monkeypatch.setattr(language, "SCORED_TOGETHER", 1)
     parts = language.WordScores(model, held=2).totals(texts[:4] + ["", "été"])
     assert np.allclose(whole[[0, 1, 2, 3, 5]], parts[[0, 1, 2, 3, 5]]) and not whole[1:4].any()
+
+
+@pytest.mark.parametrize("name", ["op1_warc", "op2_url_filters", "op5_benchmark_decontamination", "op7_chat_formatting"])
+def test_matches_sql(name, spark, sf_dir):
+    from harness import compare, duck
+
+    from quillgrid.llm.queries import LLM_ORACLE
+
+    assert compare(LLM_QUERIES[name](spark, sf_dir), duck(sf_dir), LLM_ORACLE[name]) is None
+
+
+def test_aliases_match_sql(spark, tmp_path):
+    """Links, redirects and rules that the tables do not hold."""
+    from harness import _rows
+    import duckdb
+
+    from quillgrid.llm.queries import LLM_ORACLE
+
+    pages = spark.createDataFrame([
+        (1, "http://a.com/x", '<LINK href="/y" rel="canonical">'), (2, "http://a.com/y", ""), (4, "http://c.com/de/1", None),
+        (3, "http://b.net/q", '<meta http-equiv="refresh" content="0; url=http://c.com/de/1">'), (5, None, None), (6, "nope", ""),
+        (7, "http://d.org/", "<link rel=canonical href=http://e.net/>"), (8, "http://e.net/", "<link rel='canonical' href='http://www.C.com/de/2#f'>"),
+        (9, "HTTP://B.net/q#top", ""), (10, "http://x.example.org/es/1?u", ""), (11, "http://b.net/z/", '<link rel="canonical" href="../q">'),
+    ], "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    cursor = connection.execute(LLM_ORACLE["op2_url_filters"])
+    want = _rows([c[0] for c in cursor.description], cursor.fetchall())
+    got = LLM_QUERIES["op2_url_filters"](spark, str(tmp_path))
+    assert _rows(got.columns, [tuple(r) for r in got.collect()]) == want
