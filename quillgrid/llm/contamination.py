@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from quillgrid.llm.batches import keep_one, slices
 from quillgrid.session import materialize
 
 # What a word is (after A-Z became a-z), and how long a window is.
@@ -41,7 +42,7 @@ MIN_SHARE = 20
 
 GRAM = 5
 BLOCK_CHARS = 8_000_000
-WORDS_HELD = 400_000
+WORDS_HELD = 300_000
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -157,8 +158,8 @@ def _probe(docs: DataFrame, windows: Windows, text: str, keep: tuple[str, ...])
     schema = kept.drop("__text").withColumns(extra).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
+        hashes = keep_one("words", WordHashes)
+        for batch in slices(batches):
             counts, spans, items = [], [], []
             for value in batch.column("__text"):
                 words = words_of(value.as_py())

@@ -24,12 +24,13 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillgrid.llm.batches import keep_one, slices
+
 TRAIN_DOCS = 300
 TRAIN_WORDS = 60_000
 HIDDEN = 16
@@ -39,11 +40,11 @@ LEARNING_RATE = 0.02
 SEGMENT = 24
 FOLDS = 5
 UNKNOWN = "und"
-WORDS_HELD = 500_000
+WORDS_HELD = 300_000
 SLICE_CHARS = 1 << 20
 SCORED_AT_ONCE = 2048
-SCORED_TOGETHER = 50_000
-WORDS_WAITING = 2_000_000
+SCORED_TOGETHER = 30_000
+WORDS_WAITING = 500_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -267,12 +268,6 @@ class WordScores:
         return result
 
 
-@lru_cache(maxsize=1)
-def _scores_of(model: bytes) -> WordScores:
-    """One table per worker process, kept from task to task."""
-    return WordScores(pickle.loads(model))
-
-
 def predict(docs: DataFrame, model: ByteTagger | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, lang_pred and score of every document; one pass, no shuffle."""
     kept = docs.select(*keep, F.col(text).alias("__text"))
@@ -281,8 +276,8 @@ def predict(docs: DataFrame, model: ByteTagger | None, text: str = "text", keep:
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model)) if model else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _scores_of(sent.value) if sent else None
-        for batch in batches:
+        scores = keep_one(("language", sent.value), lambda: WordScores(pickle.loads(sent.value))) if sent else None
+        for batch in slices(batches):
             names, values = [], []
             texts = [item.as_py() for item in batch.column("__text")]
             for total in scores.totals(texts) if scores else np.zeros((len(texts), 1)):

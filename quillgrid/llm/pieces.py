@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -34,6 +33,8 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
+from quillgrid.llm.batches import keep_one, slices
+
 # Fixed value: how SentencePiece marks a space.
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -159,9 +160,8 @@ class PieceCoder:
         return text[1:] if text.startswith(" ") else text
 
 
-@lru_cache(maxsize=2)
 def _coder(model: bytes) -> PieceCoder:
-    return PieceCoder(model)
+    return keep_one(("pieces", model), lambda: PieceCoder(model))
 
 
 def _model_bytes(model_path: str | None) -> bytes:
@@ -190,7 +190,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [coder.encode(t.as_py()) for t in batch.column("__text")]
             columns = [*(batch.column(c) for c in keep), _lists(ids)]
             if decoded:
@@ -210,7 +210,7 @@ def decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [coder.decode(x.as_py() or []) for x in batch.column("__ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], schema.names)
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from quillgrid.llm.batches import slices
 from quillgrid.llm.components import connected_components
 from quillgrid.session import materialize
 
@@ -73,7 +74,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     schema = kept.drop("__text").withColumn("fingerprint", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = np.fromiter((fingerprint(t.as_py()) for t in batch.column("__text")), dtype="<u8", count=batch.num_rows)
             columns = [batch.column(name) for name in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(values.view("<i8"))], [*keep, "fingerprint"])
