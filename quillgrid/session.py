@@ -6,9 +6,10 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType
 
-from quillgrid.settings import BROADCAST_ROWS
+from quillgrid.settings import BROADCAST_LIMIT, BROADCAST_ROWS
 
 
 def local_session(app_name: str = "quillgrid", cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -82,12 +83,28 @@ def spread_rows(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting rows; a larger side keeps the shuffle join.
+def _row_bytes(df: DataFrame) -> Column:
+    """About how much a row takes in memory: bytes of texts, 16 for each array element or other value."""
+    total = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            part = F.octet_length(column)
+        elif isinstance(field.dataType, (ArrayType, MapType)):
+            part = F.size(column) * 16
+        else:
+            part = F.lit(16)
+        total = total + F.coalesce(part.cast("long"), F.lit(0)) + 16
+    return total
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_LIMIT) -> DataFrame:
+    """Hint a broadcast after counting rows and bytes; a larger side keeps the shuffle join.
 
     AQE splits a skewed key of the shuffle join, so a hot key stays spread.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    found = df.select(_row_bytes(df).alias("bytes")).limit(max_rows + 1).agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).first()
+    return F.broadcast(df) if found["rows"] <= max_rows and (found["bytes"] or 0) <= max_bytes else df
 
 
 def spread_groups(df: DataFrame, groups: int, *keys: str) -> DataFrame:

@@ -62,4 +62,5 @@ MISSING_TOKENS = (
 
 # Size limits of our own: a side is broadcast only below them.
 BROADCAST_ROWS = 50_000
+BROADCAST_LIMIT = 128 * 1024 * 1024
 BROADCAST_BYTES = 256 * 1024 * 1024

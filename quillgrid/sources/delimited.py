@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quillgrid.operators.prepare import prepare_corpus, typed_label
+from quillgrid.session import materialize
 from quillgrid.settings import LABEL_COLUMN_NAMES, MISSING_TOKENS, TEXT_COLUMN_NAMES
 from quillgrid.sources.records import read_records
 
@@ -135,13 +136,14 @@ def infer_columns(df: DataFrame, candidates: list[str] | None = None) -> tuple[s
 def load_corpus(spark: SparkSession, path: str, id_column: str | None = None) -> DataFrame:
     """``(doc_id, label, text, text_clean)`` of a delimited file.
 
-    Without an id column rows are numbered in scan order. The number depends on
-    how the files are cut into tasks: store the corpus before using it twice.
+    The scan is stored once: columns, the label's type and the corpus are read
+    from it. Without an id column rows are numbered in scan order.
     """
     scanned = scan_delimited(spark, path)
     candidates = [c for c in scanned.columns if c != id_column]
-    text, label = infer_columns(scanned, candidates)
     if id_column is None:
         scanned, id_column = scanned.withColumn("_row", F.monotonically_increasing_id()), "_row"
+    scanned = materialize(scanned, "scan")
+    text, label = infer_columns(scanned, candidates)
     corpus = prepare_corpus(scanned, text, label, id_column).withColumn("doc_id", F.col("doc_id").cast("long"))
     return typed_label(corpus)

@@ -101,7 +101,7 @@ def test_cache_sees_changes(spark, divided):
     assert cache.load_or_extract(divided.repartition(3), extractor)[1]
     assert not cache.load_or_extract(divided, TermFeatures("bow", (1, 1), 51, False))[1]
     changed = divided.withColumn("text_clean", F.when(F.col("split") == "val", F.lit("x")).otherwise(F.col("text_clean")))
-    assert cache.key(changed, extractor) != cache.key(divided, extractor)
+    assert cache.digest(changed) != cache.digest(divided)
 
 
 def test_fingerprint_counts_equal_rows(spark):
