@@ -443,8 +443,7 @@ ORACLE: dict[str, str] = {
     "doc2vec_infer": with_tables(DIVIDED, f"SELECT doc_id, {settings.EMBEDDING_DIM} AS dim, TRUE AS sound, TRUE AS repeats FROM divided"),
     "cell_run": "SELECT 'tfidf' AS feature, 'logistic_regression' AS model, TRUE AS ran, TRUE AS scored, TRUE AS learns, TRUE AS timed",
     "grid_run": "SELECT f AS feature, m AS model, TRUE AS ran, TRUE AS scored, TRUE AS learns, TRUE AS timed "
-    "FROM (SELECT unnest(['bow', 'tfidf', 'ngram', 'word2vec', 'doc2vec']) AS f) "
-    "CROSS JOIN (SELECT unnest(['logistic_regression', 'svm', 'naive_bayes', 'knn']) AS m)",
+    "FROM (SELECT unnest(['bow', 'tfidf']) AS f) CROSS JOIN (SELECT unnest(['logistic_regression', 'naive_bayes']) AS m)",
     "evaluate": with_tables(TEXT_BAYES + class_scores("best", "split"), f"SELECT split, {SCORE_COLUMNS} FROM per_class GROUP BY split"),
     "classification_report": with_tables(
         TEXT_BAYES + class_scores("best") + [
