@@ -404,3 +404,29 @@ def test_aliases_match_sql(spark, tmp_path):
     want = _rows([c[0] for c in cursor.description], cursor.fetchall())
     got = LLM_QUERIES["op2_url_filters"](spark, str(tmp_path))
     assert _rows(got.columns, [tuple(r) for r in got.collect()]) == want
+
+
+@pytest.mark.parametrize("pairs", [line_dedup.PAIRS, 1])
+def test_edits_grow_with_the_line(spark, pairs):
+    rng, words = random.Random(8), ["".join(random.Random(i).choices("abcdeimnorst", k=2 + i % 8)) for i in range(300)]
+    base = [" ".join(rng.choices(words, k=k)) for k in (4, 6, 10, 15, 19, 25, 40, 70, 250) for _ in range(4)]
+    made = set(base) | {"read the notice of the publisher before use " * 3 + f"{i:03d} {base[i % 36][:40]}" for i in range(60)}
+    for text in base * 4:
+        chars = list(text)
+        for _ in range(rng.randrange(1, 2 + len(text) // 25)):
+            at, kind = rng.randrange(len(chars)), rng.randrange(3)
+            chars[at:at + (kind != 0)] = [] if kind == 1 else [rng.choice("abé漢😀")]
+        made.add("".join(chars))
+    lines = sorted(made)
+    df = materialize(spark.createDataFrame([(x,) for x in lines], "line string").withColumn("h", F.xxhash64("line")), "test-lines")
+    text = {r.h: r.line for r in df.collect()}
+    got = {frozenset((text[r.a], text[r.b])): r.distance for r in line_dedup.links(df, pairs=pairs).collect()}
+    want = {}
+    for i, a in enumerate(lines):
+        for b in lines[i + 1:]:
+            size = min(len(a), len(b))
+            limit = max(min(size // 20, 2), size * 3 // 100)
+            if abs(len(a) - len(b)) <= limit and (d := line_dedup._whole_distance(a, b)) <= limit:
+                assert size > 150 or d == brute.levenshtein(a, b)
+                want[frozenset((a, b))] = d
+    assert got == want and max(want.values()) > 30 and sum(d > 2 for d in want.values()) > 30
