@@ -56,7 +56,7 @@ def op2_url_filters(spark, sf_dir):
 
 
 def op3_line_dedup(spark, sf_dir):
-    return line_dedup.line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=1)
 
 
 def op4_sentencepiece(spark, sf_dir):

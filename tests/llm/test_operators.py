@@ -430,3 +430,15 @@ def test_edits_grow_with_the_line(spark, pairs):
                 assert size > 150 or d == brute.levenshtein(a, b)
                 want[frozenset((a, b))] = d
     assert got == want and max(want.values()) > 30 and sum(d > 2 for d in want.values()) > 30
+
+
+def test_op3_short_lines_repeat_once(spark, sf_dir):
+    seen, want = set(), {}
+    for r in sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        for n, line in enumerate((r.text or "").split("\n") if r.text is not None else []):
+            line = line.strip(" \t\n\x0b\x0c\r")
+            if len(line) < 20:
+                want[r.doc_id, n] = not line or line not in seen
+                seen.add(line)
+    got = {(r.doc_id, r.line_no): r.kept for r in LLM_QUERIES["op3_line_dedup"](spark, sf_dir).collect()}
+    assert {k: got[k] for k in want} == want and not all(want.values())
