@@ -182,13 +182,31 @@ def near_links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
     return links
 
 
+def near_parts(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, bucket: int = BUCKET
+) -> DataFrame:
+    """__id, text_hash, fingerprint and part of every document: the smallest fingerprint linked by steps of at most ``radius`` bits."""
+    texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("__t"))
+    marked = materialize(fingerprints(texts, "__t", ("__id", "text_hash")), "prints")
+    prints = materialize(marked.select("fingerprint").distinct(), "distinct-prints")
+    reached = connected_components(near_links(prints.withColumn("rep", F.col("fingerprint")), radius, bucket))
+    named = marked.join(reached.select(F.col("node").alias("fingerprint"), "component"), "fingerprint", "left")
+    return materialize(named.select("__id", "text_hash", "fingerprint", F.coalesce("component", "fingerprint").alias("part")), "parts")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, bucket: int = BUCKET
 ) -> DataFrame:
     """id, fingerprint (bigint) and component_id: the smallest id linked to the document by steps of at most ``radius`` bits."""
-    marked = materialize(fingerprints(docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__t")), "__t", ("__id",)), "prints")
-    prints = materialize(marked.groupBy("fingerprint").agg(F.min("__id").alias("rep")), "distinct-prints")
-    links = near_links(prints.where(F.col("rep").isNotNull()), radius, bucket)
-    reached = connected_components(links).select(F.col("node").alias("rep"), "component")
-    named = prints.join(reached, "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(named, "fingerprint").select(F.col("__id").alias(id_col), "fingerprint", "component_id")
+    parts = near_parts(docs, id_col, text, radius, bucket)
+    least = parts.groupBy("part").agg(F.min("__id").alias("component_id"))
+    return parts.join(least, "part").select(F.col("__id").alias(id_col), "fingerprint", "component_id")
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` per component: that of the smallest (id, hash of the text), a null id last."""
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("text_hash").alias("hash")))
+    kept = near_parts(docs, id_col, text).groupBy("part").agg(first.alias("first")).select(F.struct("first.id", "first.hash").alias("__key"))
+    # One shuffle by the key, equal also for null ids, serves the join and the choice of one of several equal rows.
+    keyed = docs.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash")))
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
