@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
 import pyarrow as pa
 
 SLICE_ROWS = 500
-
-_kept: dict[Hashable, Any] = {}
+HOLDER = "_quillgrid_worker_holder"
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -22,9 +23,20 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 def keep_one(key: Hashable, make: Callable[[], Any]) -> Any:
     """The object of ``key``, kept from task to task of one worker until another key is asked for.
 
-    Workers outlive stages: what one operator has kept must not stay when the next one runs.
+    This module travels with each task and is made anew there, so the object hangs
+    on a module of the worker itself. Workers outlive stages: what one operator has
+    kept must not stay when the next one runs.
     """
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = make()
-    return _kept[key]
+    holder = sys.modules.setdefault(HOLDER, types.ModuleType(HOLDER))
+    kept = holder.__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
+
+
+def keep_none() -> None:
+    """Give up what the worker has kept, before work that needs the memory."""
+    holder = sys.modules.get(HOLDER)
+    if holder is not None:
+        holder.__dict__.pop("kept", None)

