@@ -200,9 +200,11 @@ class Grammar:
         known = self.known
         if len(known) > WORDS_HELD:
             known.clear()
-        for word in set(tokens) - known.keys():
-            known[word] = self.symbol(word)
-        if not any(known[w][0] in (INSULT, THREAT) for w in set(tokens)):
+        words = set(tokens)
+        for word in words:
+            if word not in known:
+                known[word] = self.symbol(word)
+        if not any(known[word][0] in (INSULT, THREAT) for word in words):
             return out
         greatest, matched, clause, state, last = [0.0] * len(KINDS), [0] * len(KINDS), [0.0] * len(KINDS), 0, 0.0
 
