@@ -13,9 +13,9 @@ normalised, so decoding gives back exactly the text that was encoded.
 
 No piece has a mark behind another character, so a text is cut before each run
 of spaces, and at characters no piece has; each part is segmented once per
-worker and kept in a bounded table. Long texts are read in slices of bounded
-size. A run of more than ``SLICE_CHARS`` characters without a place to cut is
-segmented slice by slice.
+worker and kept in a bounded table. Long texts are read in slices that end before
+a space, so where a slice ends never changes a segmentation; a run without a
+space is one slice whatever its length, at twelve bytes a character.
 
 Defined cases: null and empty texts have no ids and decode to the empty text;
 repeated rows are encoded alike; an empty table gives no rows; other columns do
@@ -25,7 +25,8 @@ not matter.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, MutableSequence
 
 import ahocorasick
 import numpy as np
@@ -41,6 +42,7 @@ UNKNOWN_PENALTY = 10.0
 SLICE_CHARS = 1 << 20
 PARTS_HELD = 300_000
 LONGEST_HELD = 64
+WORD_END = re.compile("[^ ] ")
 
 
 def default_model() -> str:
@@ -70,16 +72,18 @@ class PieceCoder:
         self.automaton = ahocorasick.Automaton()
         self.single: set[str] = set()
         self.byte_ids: dict[int, int] = {}
-        self.decoded: list[bytes] = []
+        decoded: list[bytes] = []
+        self.sizes: list[int] = []
         scores, alphabet, cut_at_spaces = [0.0], set(), True
         for i in range(source.get_piece_size()):
             piece = source.id_to_piece(i)
+            self.sizes.append(len(piece))
             if source.is_byte(i):
                 value = int(piece[3:-1], 16)
                 self.byte_ids[value] = i
-                self.decoded.append(bytes([value]))
+                decoded.append(bytes([value]))
             elif source.is_control(i) or source.is_unknown(i) or source.is_unused(i) or not piece:
-                self.decoded.append(b"")
+                decoded.append(b"")
             else:
                 score = source.get_score(i)
                 self.automaton.add_word(piece, (i, len(piece), score))
@@ -89,10 +93,13 @@ class PieceCoder:
                     self.single.add(piece)
                 if MARK in piece[1:] and piece.strip(MARK):
                     cut_at_spaces = False
-                self.decoded.append(piece.replace(MARK, " ").encode())
+                decoded.append(piece.replace(MARK, " ").encode())
         if len(self.byte_ids) != 256:
             raise ValueError("the model has no pieces for single bytes, so unknown characters could not be decoded")
         self.automaton.make_automaton()
+        self.lengths = np.fromiter(map(len, decoded), np.int64, len(decoded))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(decoded), np.uint8)
         self.unknown = min(scores) - UNKNOWN_PENALTY
         alone = re.escape("".join(sorted(set("\n\r\t") - alphabet)) + MARK)
         self.cuts = cut_at_spaces
@@ -108,13 +115,15 @@ class PieceCoder:
             return self._bytes_of(part)
         text = part.replace(" ", MARK)
         n, single, unknown = len(text), self.single, self.unknown
-        best, start, piece = [0.0] + [-float("inf")] * n, [0] * (n + 1), [-1] * (n + 1)
+        best: MutableSequence[float] = [-float("inf")] * (n + 1) if n <= LONGEST_HELD else array("d", [-float("inf")]) * (n + 1)
+        piece: MutableSequence[int] = [-1] * (n + 1) if n <= LONGEST_HELD else array("i", [-1]) * (n + 1)
+        best[0] = 0.0
         reached = 0
 
         def relax_unknown(until: int) -> None:
             for at in range(reached, until):
                 if text[at] not in single and best[at] + unknown > best[at + 1]:
-                    best[at + 1], start[at + 1], piece[at + 1] = best[at] + unknown, at, -1
+                    best[at + 1], piece[at + 1] = best[at] + unknown, -1
 
         for last, (i, length, score) in self.automaton.iter(text):
             end = last + 1
@@ -123,25 +132,25 @@ class PieceCoder:
                 reached = end
             total = best[end - length] + score
             if total > best[end]:
-                best[end], start[end], piece[end] = total, end - length, i
+                best[end], piece[end] = total, i
         relax_unknown(n)
         ids: list[int] = []
         at = n
         while at:
-            ids += [piece[at]] if piece[at] >= 0 else self._bytes_of(text[start[at]])[::-1]
-            at = start[at]
+            if piece[at] >= 0:
+                ids.append(piece[at])
+                at -= self.sizes[piece[at]]
+            else:
+                at -= 1
+                ids += self._bytes_of(text[at])[::-1]
         return ids[::-1]
 
     def _slices(self, text: str) -> Iterator[str]:
+        """Slices of at least SLICE_CHARS that end before a run of spaces; without one, the rest at once."""
         at = 0
-        while len(text) - at > SLICE_CHARS:
-            end = at + SLICE_CHARS
-            cut = text.rfind(" ", at + 1, end) if self.cuts else -1
-            while cut > at + 1 and text[cut - 1] == " ":
-                cut -= 1
-            end = cut if cut > at + 1 else end
-            yield text[at:end]
-            at = end
+        while self.cuts and len(text) - at > SLICE_CHARS and (found := WORD_END.search(text, at + SLICE_CHARS)):
+            yield text[at:found.start() + 1]
+            at = found.start() + 1
         yield text[at:]
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -154,9 +163,12 @@ class PieceCoder:
             found.append(b"".join(map(self.parts.__getitem__, self.part.findall(piece))))
         return np.frombuffer(b"".join(found), dtype="<i4")
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of some ids; bytes that are no UTF-8 are replaced, the space in front is taken off."""
-        text = b"".join(map(self.decoded.__getitem__, ids)).decode("utf-8", "replace")
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - (ends - lengths), lengths)
+        text = self.bytes[at].tobytes().decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -194,7 +206,7 @@ def encode(
             ids = [coder.encode(t.as_py()) for t in batch.column("__text")]
             columns = [*(batch.column(c) for c in keep), _lists(ids)]
             if decoded:
-                columns.append(pa.array([coder.decode(x.tolist()) for x in ids], pa.string()))
+                columns.append(pa.array([coder.decode(x) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return kept.mapInArrow(run, schema)
@@ -211,7 +223,7 @@ def decode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(sent.value)
         for batch in slices(batches):
-            texts = [coder.decode(x.as_py() or []) for x in batch.column("__ids")]
+            texts = [coder.decode(np.array(x.as_py() or [], dtype=np.int64)) for x in batch.column("__ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], schema.names)
 
     return kept.mapInArrow(run, schema)

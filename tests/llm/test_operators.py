@@ -181,6 +181,30 @@ def test_long_texts_are_cut_between_words(coder, monkeypatch):
     whole = coder.encode(text).tolist()
     monkeypatch.setattr(pieces, "SLICE_CHARS", 50)
     assert coder.encode(text).tolist() == whole and coder.decode(whole) == text
+    for text in ("thequickbrownfox" * 30, " " * 200 + "thequick" * 20 + "  fox " * 40, "a\nb" * 100):
+        monkeypatch.setattr(pieces, "SLICE_CHARS", 1 << 20)
+        whole = coder.encode(text).tolist()
+        monkeypatch.setattr(pieces, "SLICE_CHARS", 33)
+        assert coder.encode(text).tolist() == whole and coder.decode(whole) == text
+
+
+def test_worker_keeps_one_thing_across_copies_of_the_module():
+    import importlib.util
+
+    def copy():
+        spec = importlib.util.spec_from_file_location("batches_copy", pieces.keep_one.__code__.co_filename)
+        module = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(module)
+        return module
+
+    made = []
+    for _ in range(3):
+        copy().keep_one("a thing", lambda: made.append(1) or "thing")
+    assert len(made) == 1
+    copy().keep_one("another", lambda: "other")
+    copy().keep_one("a thing", lambda: made.append(1))
+    assert len(made) == 2
+    copy().keep_none()
 
 
 def test_op4_round_trip(spark, sf_dir, documents):
