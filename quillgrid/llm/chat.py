@@ -5,9 +5,11 @@ and texts a backslash becomes ``\\b``, ``<`` becomes ``\\l`` and ``>`` becomes `
 every text can be read back.
 
 Prefix sums of turn tokens (words plus a fixed cost of the marks) place turns on
-a line of tokens, cut every ``budget / 2`` tokens: turns that start in one piece
-form a span, so a span of ordinary turns stays within the budget. A turn longer
-than a piece is a span of its own. Each window holds the system turn that opens
+a line of tokens, cut into pieces of half the room that the system turn and the
+history leave of the budget: turns that start in one piece form a span, so a span
+fits the room and its window the budget. A turn longer than a piece is a span of
+its own; a window exceeds the budget only if its one turn, with the system turn
+and the history, is longer alone. A turn is never cut. Each window holds the system turn that opens
 its conversation, then the turns of the span before it that start within
 ``history`` tokens of its own start, then its own span. Only assistant turns of
 the own span are under the loss mask: repeated turns are never targets, so each
@@ -77,11 +79,14 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     """Windows of conversations (conv_id, turn, role, text).
 
     conv_id, window_start (tokens before its own turns), text, n_repeated (turns
-    at the head that an earlier window had) and loss_spans, (start, end) of the
-    target characters in text.
+    at the head that an earlier window had), n_tokens, and loss_spans, (start, end)
+    of the target characters in text.
     """
-    piece = max(1, budget // 2)
     placed = materialize(_placed(turns), "turns")
+    total = placed.groupBy(F.col("conv_id").alias("__c")).agg(
+        F.max(F.col("start") + F.col("tokens")).alias("all_tokens"), F.coalesce(F.max(F.when(F.col("opens"), F.col("tokens"))), F.lit(0)).alias("system_tokens"))
+    placed = placed.join(total, F.col("conv_id").eqNullSafe(F.col("__c"))).drop("__c")
+    piece = F.greatest(F.lit(1), F.floor((F.lit(budget - history) - F.col("system_tokens")) / 2))
     # A long turn ends the span before it and starts another behind it, at its own end on the line of tokens.
     spans = placed.withColumn("long", F.col("tokens") > piece)
     block = F.floor(F.col("start") / piece)
@@ -95,22 +100,20 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
         "window_start": F.min("start").over(whole), "window_end": F.max(F.col("start") + F.col("tokens")).over(whole),
         "head": F.concat(F.lit("<turn "), escape(F.col("role")), F.lit(">")), "body": escape(F.col("text")),
     })
-    total = placed.groupBy("conv_id").agg(F.max(F.col("start") + F.col("tokens")).alias("all_tokens"))
-    ends = formatted.join(total.withColumnRenamed("conv_id", "__c"), F.col("conv_id").eqNullSafe(F.col("__c"))).drop("__c")
     repeats = (F.col("window_end") - F.col("start") <= history) & (F.col("window_end") < F.col("all_tokens")) & ~F.col("opens")
     own = F.struct(F.col("window_start").alias("window"), F.lit(False).alias("again"))
     next_one = F.struct(F.col("window_end").alias("window"), F.lit(True).alias("again"))
-    spread = ends.withColumn("at", F.explode(F.when(repeats, F.array(own, next_one)).otherwise(F.array(own)))).select(
-        "conv_id", F.col("at.window").alias("window_start"), F.col("at.again").alias("again"), "number", "head", "body", "role"
+    spread = formatted.withColumn("at", F.explode(F.when(repeats, F.array(own, next_one)).otherwise(F.array(own)))).select(
+        "conv_id", F.col("at.window").alias("window_start"), F.col("at.again").alias("again"), "number", "head", "body", "role", "tokens"
     )
-    openings = ends.where("opens").select(F.col("conv_id").alias("__c"), F.col("head").alias("__h"), F.col("body").alias("__b"), F.col("window_start").alias("__w"))
-    first_windows = ends.select("conv_id", "window_start").distinct()
+    openings = formatted.where("opens").select(F.col("conv_id").alias("__c"), F.col("head").alias("__h"), F.col("body").alias("__b"), F.col("window_start").alias("__w"), F.col("tokens").alias("__t"))
+    first_windows = formatted.select("conv_id", "window_start").distinct()
     retained = first_windows.join(openings, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("window_start") != F.col("__w"))).select(
         "conv_id", "window_start", F.lit(True).alias("again"), F.lit(0).cast("long").alias("number"),
-        F.col("__h").alias("head"), F.col("__b").alias("body"), F.lit(SYSTEM).alias("role"),
+        F.col("__h").alias("head"), F.col("__b").alias("body"), F.lit(SYSTEM).alias("role"), F.col("__t").alias("tokens"),
     )
     grouped = spread.union(retained).groupBy("conv_id", "window_start").agg(F.sort_array(F.collect_list(F.struct(
-        "number", "again", "head", "body", (~F.col("again") & (F.col("role") == TARGET)).alias("target")))).alias("rows"))
+        "number", "again", "head", "body", (~F.col("again") & (F.col("role") == TARGET)).alias("target")))).alias("rows"), F.sum("tokens").alias("n_tokens"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
     tail = len("</turn>\n")
 
@@ -123,7 +126,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     return grouped.select(
         "conv_id", "window_start",
         F.array_join(F.transform("rows", lambda r: F.concat(r["head"], r["body"], F.lit("</turn>\n"))), "").alias("text"),
-        F.size(F.filter("rows", lambda r: r["again"])).alias("n_repeated"), F.aggregate("rows", start, walk)["spans"].alias("loss_spans"),
+        F.size(F.filter("rows", lambda r: r["again"])).alias("n_repeated"), "n_tokens", F.aggregate("rows", start, walk)["spans"].alias("loss_spans"),
     )
 
 

@@ -100,18 +100,19 @@ def _escaped(column: str) -> str:
     return f"length({column}) + length(regexp_replace({column}, '[^\\\\<>]', '', 'g'))"
 
 
-# A budget of 512 tokens gives pieces of 256; the history is 64 tokens; marks of a turn are 4 tokens and 15 characters.
+# A budget of 512 tokens less a history of 64 and the system turn gives pieces of half of that; marks of a turn are 4 tokens and 15 characters.
 OP7 = f"""
 WITH every AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
 sized AS (SELECT *, len(list_filter(regexp_split_to_array(text, '{WORD_GAP}'), lambda t: t <> '')) + 4 AS tokens,
   {_escaped('role')} + {_escaped('text')} + 15 AS chars,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS number FROM every),
-placed AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY number) - tokens AS start, sum(tokens) OVER (PARTITION BY conv_id) AS total FROM sized),
-lined AS (SELECT *, start // 256 AS piece, coalesce(max(CASE WHEN tokens > 256 THEN start + tokens END) OVER (
-  PARTITION BY conv_id, start // 256 ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS after_long FROM placed),
+placed AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY number) - tokens AS start, sum(tokens) OVER (PARTITION BY conv_id) AS total,
+  greatest(1, (448 - coalesce(max(CASE WHEN number = 0 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id), 0)) // 2) AS size FROM sized),
+lined AS (SELECT *, start // size AS piece, coalesce(max(CASE WHEN tokens > size THEN start + tokens END) OVER (
+  PARTITION BY conv_id, start // size ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS after_long FROM placed),
 spans AS (SELECT *, min(start) OVER w AS first, max(start + tokens) OVER w AS last, number = 0 AND role = 'system' AS opens
-  FROM lined WINDOW w AS (PARTITION BY conv_id, piece, after_long, tokens > 256))
+  FROM lined WINDOW w AS (PARTITION BY conv_id, piece, after_long, tokens > size))
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY number)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY number) FILTER (role = 'assistant'), '')) AS loss_sha256,
