@@ -1,14 +1,17 @@
 """Personal data by fixed patterns and by contexts learnt from them.
 
-Addresses, numbers and cards that the fixed patterns find are the seeds. Every
-word with a digit or an at sign is a candidate; what stands before it, one word
-or two, is its context. Contexts and candidates form a bipartite graph with one
-edge for each different pair, so copies of a text add nothing. Scores run over
-it for ``ROUNDS`` rounds: a context's score for a kind is the smoothed mean over
-its candidates, a candidate's the mean over its contexts, a seed's is one. A
-candidate outside all seeds becomes a span of a kind if a context of a score of at
-least ``MIN_CONTEXT`` precedes it; smoothing by ``PRIOR`` asks for about eight
-different seeds behind such a context.
+Addresses, numbers and cards that the fixed patterns find are the seeds, and so
+are secrets: what follows a word for one with ``=`` or ``:``, and keys of a known
+form. A candidate is a run of words that hold a digit or an at sign, one space
+apart, without quotes, colons and equals signs around it. Its patterns are the
+word and the two words before it, the word behind it, and, where it has a letter, its
+shape. Patterns and candidates form a bipartite graph with one edge for each
+different pair, so copies of a text add nothing. Scores run over it for ``ROUNDS``
+rounds: a pattern's score for a kind is the smoothed mean over its candidates, a
+candidate's the greatest of its patterns if at least ``MIN_CANDIDATE``, a seed's is one. A candidate outside all
+base spans becomes a span of a kind if one of its patterns has a score of at least
+``MIN_CONTEXT``; smoothing by ``PRIOR`` asks for about eight different seeds with
+such a pattern. Seeds of secrets are spans of their own kind as well.
 
 All steps are built-in expressions, aggregates, joins and windows over the
 candidates of one document. Positions count code points.
@@ -34,35 +37,43 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-CANDIDATE = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
+SECRET = "secret"
+SECRET_WORDS = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey")
+SECRET_FORM = "AKIA[0-9A-Z]{16}"
+WORD = r"(?=[^\s0-9@=:\"'<>]*+[0-9@])[^\s=:\"'<>]++"
+CANDIDATE = rf"(?<![^\s=:\"'<>]){WORD}(?: {WORD})*+"
+MIN_SECRET = 8
+SHAPE_CHARS = 64
 
 PREFIX_BLOCK = 256
 CONTEXT_CHARS = 80
 ROUNDS = 3
 MIN_CONTEXT = 0.8
-MIN_CANDIDATE = 0.5
+MIN_CANDIDATE = 0.7
 PRIOR = 2.0
+FOUND = "array<struct<start:bigint,value:string,before:string,after:string>>"
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
 
 
 def located(text: str, pattern: str) -> Column:
-    """Array of (start, value, before) of all matches in a column; ``before`` is the end of the text since the match before.
+    """Array of (start, value, before, after) of all matches in a column: the end of the text since the match before, the beginning of that up to the next.
 
     Lengths of matches and of what lies between them are summed up in blocks, so
     a text with very many matches is not quadratic.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(
-        F.split(text, pattern), found,
-        lambda gap, value: F.struct(F.length(gap).cast("long").alias("gap"), value.alias("value"), F.substring(gap, -CONTEXT_CHARS, CONTEXT_CHARS).alias("before")),
-    )
+    gaps = F.transform(F.split(text, pattern), lambda gap: F.struct(
+        F.length(gap).cast("long").alias("gap"), F.substring(gap, -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"), F.substring(gap, 1, CONTEXT_CHARS).alias("after")))
+    behind = F.zip_with(found, F.slice(gaps, 2, F.size(found)), lambda value, gap: F.struct(value.alias("value"), gap["after"].alias("after")))
+    pairs = F.zip_with(gaps, behind, lambda gap, x: F.struct(
+        gap["gap"].alias("gap"), x["value"].alias("value"), gap["before"].alias("before"), x["after"].alias("after")))
     pairs = F.filter(pairs, lambda x: x["value"].isNotNull())
     blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(pairs) / PREFIX_BLOCK).cast("int")), lambda b: b)
-    empty = F.array().cast("array<struct<start:bigint,value:string,before:string>>")
+    empty = F.array().cast(FOUND)
 
     def add(s: Column, x: Column) -> Column:
         start = s["at"] + x["gap"]
-        item = F.struct(start.alias("start"), x["value"].alias("value"), x["before"].alias("before"))
+        item = F.struct(start.alias("start"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after"))
         return F.struct((start + F.length(x["value"])).alias("at"), F.concat(s["out"], F.array(item)).alias("out"))
 
     zero = F.lit(0).cast("long").alias("at")
@@ -72,7 +83,7 @@ def located(text: str, pattern: str) -> Column:
         lambda s, x: F.struct((s["at"] + x["at"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
     )["out"]
     return F.flatten(F.zip_with(local, offsets, lambda x, o: F.transform(x["out"], lambda y: F.struct(
-        (y["start"] + o).alias("start"), y["value"].alias("value"), y["before"].alias("before")))))
+        (y["start"] + o).alias("start"), y["value"].alias("value"), y["before"].alias("before"), y["after"].alias("after")))))
 
 
 def _luhn(digits: Column) -> Column:
@@ -95,10 +106,10 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, text: str) -> DataFrame:
-    """Add ``base``, an array of spans (start, rank, end, kind) in order, and ``candidates`` (start, value, before)."""
+    """Add ``base``, an array of spans (start, rank, end, kind) in order, and ``candidates`` (start, value, before, after)."""
     guards = {"email": F.col(text).contains("@"), "phone": F.col(text).contains("+")}
     digit = F.col(text).rlike("[0-9]")
-    nothing = F.array().cast("array<struct<start:bigint,value:string,before:string>>")
+    nothing = F.array().cast(FOUND)
     marked = docs.withColumns({
         f"__{kind}": F.when(guards.get(kind, digit), located(text, PATTERNS[kind])).otherwise(nothing) for kind in KINDS
     } | {"candidates": F.when(digit | guards["email"], located(text, CANDIDATE)).otherwise(nothing)})
@@ -120,23 +131,43 @@ def count_kind(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def shape(value: Column) -> Column:
+    """What a value with a letter looks like: hexadecimal, capitals or letters with digits, and how long, else class by class."""
+    n = F.length(value).cast("string")
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[A-Z]", "A"), "[a-z]", "a"), "[0-9]", "9")
+    known = F.when(value.rlike("^[0-9a-f]+$"), F.concat(F.lit("hex "), n)).when(value.rlike("^[0-9A-Z]+$"), F.concat(F.lit("capitals "), n)).when(
+        value.rlike("^[0-9A-Za-z]+$"), F.concat(F.lit("letters "), n)).otherwise(classes)
+    return F.when(value.rlike("[A-Za-z]") & (F.length(value) <= SHAPE_CHARS), known)
+
+
+def _is_secret(value: Column, before: Column) -> Column:
+    words = "|".join(SECRET_WORDS)
+    named = F.lower(before).rlike(rf"(?:^|[^a-z0-9_])(?:{words})\s*[=:]\s*[\"']?$")
+    return named & (F.length(value) >= MIN_SECRET) | value.rlike(f"^{SECRET_FORM}$")
+
+
 def _candidates(found: DataFrame) -> DataFrame:
-    """Candidates outside the seeds, and those in which one begins (kind set): __id, __h, start, end, value, kind, contexts."""
+    """Candidates outside the base spans, and those in which one begins (kind set): __id, __h, start, end, value, kind, contexts."""
+
+    def words_of(text: str) -> Column:
+        return F.filter(F.split(F.regexp_replace(F.lower(text), r"[\s=:\"'<>]+", " "), " "), lambda w: w != "")
+
     words = found.select("__id", "__h", F.explode("candidates").alias("c")).select(
         "__id", "__h", F.col("c.start").alias("start"), (F.col("c.start") + F.length("c.value")).alias("end"), F.col("c.value").alias("value"),
-        F.filter(F.split(F.lower("c.before"), r"\s+"), lambda w: w != "").alias("before"),
+        words_of("c.before").alias("before"), F.get(words_of("c.after"), 0).alias("after"), _is_secret(F.col("c.value"), F.col("c.before")).alias("secret"),
     )
     seeds = found.select("__id", "__h", F.explode("base").alias("b")).select("__id", "__h", "b")
-    events = words.select("__id", "__h", (F.col("end") - 1).alias("at"), "start", "end", "value", "before", F.lit(None).cast(SPAN).alias("b")).union(
-        seeds.select("__id", "__h", F.col("b.start").alias("at"), F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("string"),
-                     F.lit(None).cast("array<string>"), "b"))
+    events = words.select("__id", "__h", (F.col("end") - 1).alias("at"), "start", "end", "value", "before", "after", "secret", F.lit(None).cast(SPAN).alias("b")).unionByName(
+        seeds.select("__id", "__h", F.col("b.start").alias("at"), "b"), allowMissingColumns=True)
     so_far = Window.partitionBy("__id", "__h").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = events.withColumns({"last": F.last("b", ignorenulls=True).over(so_far), "reach": F.max("b.end").over(so_far)}).where("value is not null")
     begins = F.coalesce(F.col("last.start") >= F.col("start"), F.lit(False))
     free = begins | F.col("reach").isNull() | (F.col("reach") <= F.col("start"))
     one, two = F.element_at("before", -1), F.concat_ws(" ", F.slice("before", -2, 2))
-    contexts = F.when(F.size("before") >= 2, F.array(one, two)).when(F.size("before") == 1, F.array(one)).otherwise(F.array().cast("array<string>"))
-    return ranked.where(free).select("__id", "__h", "start", "end", "value", F.when(begins, F.col("last.kind")).alias("kind"), contexts.alias("contexts"))
+    contexts = F.array_compact(F.array(
+        F.when(F.size("before") >= 1, one), F.when(F.size("before") >= 2, two), F.concat(F.lit("behind: "), "after"), F.concat(F.lit("shape: "), shape(F.col("value")))))
+    kind = F.when(begins, F.col("last.kind")).when(F.col("secret"), F.lit(SECRET))
+    return ranked.where(free).select("__id", "__h", "start", "end", "value", kind.alias("kind"), contexts.alias("contexts"))
 
 
 def score_contexts(candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -149,9 +180,7 @@ def score_contexts(candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         summed = pairs.join(values, "value").groupBy("context", "kind").agg(F.sum("score").alias("s"))
         contexts = materialize(summed.join(degree, "context").select("context", "kind", (F.col("s") / (F.col("n") + PRIOR)).alias("score")), "contexts")
-        of_value = pairs.groupBy("value").agg(F.count(F.lit(1)).alias("m"))
-        spread = pairs.join(contexts.where(F.col("score") >= MIN_CANDIDATE), "context").groupBy("value", "kind").agg(F.sum("score").alias("s"))
-        learnt = spread.join(of_value, "value").select("value", "kind", (F.col("s") / F.col("m")).alias("score"))
+        learnt = pairs.join(contexts.where(F.col("score") >= MIN_CANDIDATE), "context").groupBy("value", "kind").agg(F.max("score").alias("score"))
         values = seeds.union(learnt.join(seeds.select("value").distinct(), "value", "left_anti"))
     return contexts
 
@@ -165,8 +194,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     contexts = score_contexts(candidates).where(F.col("score") >= MIN_CONTEXT)
     best = candidates.where("kind is null").select("__id", "__h", "start", "end", F.explode("contexts").alias("context")).join(
         broadcast_if_small(contexts), "context")
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    chosen = best.groupBy("__id", "__h", "start", "end").agg(F.max_by("kind", F.struct("score", -rank)).alias("kind"))
+    rank = F.array_position(F.array(*map(F.lit, (*KINDS, SECRET))), F.col("kind")).cast("int") - 1
+    chosen = best.groupBy("__id", "__h", "start", "end").agg(F.max_by("kind", F.struct("score", -rank)).alias("kind")).union(
+        candidates.where(F.col("kind") == SECRET).select("__id", "__h", "start", "end", "kind"))
     span = F.struct("start", rank.alias("rank"), "end", "kind")
     added = materialize(chosen.groupBy("__id", "__h").agg(F.collect_list(span).alias("added")), "added")
     added = broadcast_if_small(added.select(F.col("__id").alias("__i"), F.col("__h").alias("__j"), "added"))
