@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillgrid.llm.batches import keep_one, slices
@@ -273,7 +274,7 @@ def predict(docs: DataFrame, model: ByteTagger | None, text: str = "text", keep:
     kept = docs.select(*keep, F.col(text).alias("__text"))
     schema = kept.drop("__text").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)}).schema
 
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model)) if model else None
+    sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model)) if model else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = keep_one(("language", sent.value), lambda: WordScores(pickle.loads(sent.value))) if sent else None

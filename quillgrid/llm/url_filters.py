@@ -25,7 +25,10 @@ from quillgrid.session import broadcast_if_small, materialize
 
 ALLOW, BLOCK = "allow", "block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK_TAG = r"(?i)<link\b[^<>]*\brel\s*=\s*[\"']?\s*canonical\b[^<>]*>"
+REL = r"(?:\"(?:[^\"]*\s)?canonical(?:\s[^\"]*)?\"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"
+LINK_TAG = rf"(?i)<link\b[^<>]*\brel\s*=\s*{REL}[^<>]*>"
+BASE_TAG = r"(?i)<base\b[^<>]*\bhref\s*=[^<>]*>"
+NUMBERED = r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
 META_TAG = r"(?i)<meta\b[^<>]*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b[^<>]*>"
 HREF = r"(?i)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+))"
 REFRESH = r"(?i)\burl\s*=\s*['\"]?([^'\"<>\s]+)"
@@ -53,7 +56,30 @@ def resource(url: Column) -> Column:
     """The address without its fragment, scheme and host in lower case: what a server is asked for."""
     bare = F.regexp_replace(url, r"(?s)#.*$", "")
     start = F.regexp_extract(bare, r"^([^/?#]*://[^/?#]*)", 1)
-    return F.concat(F.translate(start, UPPER, LOWER), F.substr(bare, F.length(start) + 1))
+    rest = F.substr(bare, F.length(start) + 1)
+    return F.concat(F.translate(start, UPPER, LOWER), F.when(rest.contains("/."), without_dots(rest)).otherwise(rest))
+
+
+def without_dots(rest: Column) -> Column:
+    """A path, with what follows its ``?``, without ``.`` and ``..`` segments."""
+    path = F.regexp_extract(rest, r"^([^?]*)", 1)
+    ended = F.when(path.rlike(r"/\.\.?$"), F.concat(path, F.lit("/"))).otherwise(path)
+    parts = F.aggregate(
+        F.split(F.substr(ended, F.lit(2)), "/"), F.array().cast("array<string>"),
+        lambda kept, part: F.when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(part == ".", kept).otherwise(F.concat(kept, F.array(part))),
+    )
+    return F.concat(F.lit("/"), F.array_join(parts, "/"), F.substr(rest, F.length(path) + 1))
+
+
+def unescaped(text: Column) -> Column:
+    """An attribute's value with ``&amp;`` and numbered characters written out."""
+    def char(code: Column) -> Column:
+        number = F.when(F.lower(F.substr(code, F.lit(1), F.lit(1))) == "x", F.conv(F.substr(code, F.lit(2)), 16, 10)).otherwise(code).cast("bigint")
+        return F.when(number.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("")
+
+    chars = F.transform(F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(1)), char)
+    plain = F.array_join(F.zip_with(F.split(text, NUMBERED), chars, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
+    return F.replace(F.when(text.contains("&#"), plain).otherwise(text), F.lit("&amp;"), F.lit("&"))
 
 
 def resolve(target: Column, base: Column) -> Column:
@@ -66,6 +92,8 @@ def resolve(target: Column, base: Column) -> Column:
         F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(scheme, target))
         .when(target.startswith("/"), F.concat(site, target))
+        .when(target.startswith("?"), F.concat(site, F.when(path == "", "/").otherwise(path), target))
+        .when(target.startswith("#"), base)
         .otherwise(F.concat(site, folder, target))
     )
 
@@ -79,12 +107,14 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     tags = pages.where(F.col(url).contains("://")).select(
         F.col(url).alias("url"),
         F.concat(F.regexp_extract_all(html, F.lit(LINK_TAG), F.lit(0)), F.regexp_extract_all(html, F.lit(META_TAG), F.lit(0))).alias("tags"),
-    ).where(F.size("tags") > 0).select("url", F.explode("tags").alias("tag"))
+        F.regexp_extract(html, BASE_TAG, 0).alias("base"),
+    ).where(F.size("tags") > 0).select("url", F.explode("tags").alias("tag"), unescaped(F.trim(first_group(F.col("base")))).alias("base"))
     target = F.when(F.lower(F.substring("tag", 1, 5)) == "<link", first_group(F.col("tag"))).otherwise(
         F.regexp_extract("tag", REFRESH, 1)
     )
-    named = tags.select("url", F.replace(F.trim(target), F.lit("&amp;"), F.lit("&")).alias("target")).where(F.col("target") != "")
-    return named.select(resource(F.col("url")).alias("a"), resource(resolve(F.col("target"), F.col("url"))).alias("b"))
+    named = tags.select("url", "base", unescaped(F.trim(target)).alias("target")).where(F.col("target") != "")
+    base = F.when(F.coalesce(F.col("base"), F.lit("")) != "", resolve(F.col("base"), F.col("url"))).otherwise(F.col("url"))
+    return named.select(resource(F.col("url")).alias("a"), resource(resolve(F.col("target"), base)).alias("b"))
 
 
 def judge_urls(
