@@ -81,6 +81,17 @@ def _guarded(pipeline: str, feature: str, model: str, work: Callable[[], dict[st
     return row
 
 
+def _journal_rows(spark, journal: str | None, variant: str) -> dict[tuple[str, str], dict[str, Any]]:
+    """Finished cells of a journal by feature and model; the folder need not be there yet."""
+    if journal is None:
+        return {}
+    path = spark._jvm.org.apache.hadoop.fs.Path(journal)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return {}
+    done = spark.read.schema(RUN_SCHEMA).parquet(journal).where((F.col("pipeline") == variant) & F.col("error").isNull())
+    return {(r["feature"], r["model"]): r.asDict() for r in done.collect()}
+
+
 def run_grid(
     corpus: DataFrame,
     features: Sequence[str] | None = None,
@@ -92,6 +103,7 @@ def run_grid(
     parallel_cells: int = 1,
     use_cache: bool = True,
     zero_shot_sample: int | None = None,
+    journal: str | None = None,
 ) -> DataFrame:
     """Run rows of a split corpus in the fixed run schema.
 
@@ -100,16 +112,33 @@ def run_grid(
     training rows are kept in memory until the last of them is done. Without
     ``use_cache`` features are made anew, so their times are those of the work.
     Zero-shot rows are scored on all test rows, or on ``zero_shot_sample`` of them.
+
+    ``journal`` names a shared folder that each finished cell is added to. A later
+    call with it takes the cells that ran without an error from there, so a grid
+    whose driver is lost goes on where it stopped; one journal is for one corpus.
     """
     extractors = extractors or {name: make() for name, make in EXTRACTORS[variant].items()}
     fits = fits or MODELS[variant]
     cache = FeatureCache.shared(corpus)
     digest = cache.digest(corpus) if use_cache else ""
     rows: list[dict[str, Any]] = []
+    known = _journal_rows(corpus.sparkSession, journal, variant)
+
+    def told(row: dict[str, Any]) -> dict[str, Any]:
+        if journal is not None:
+            values = tuple(row.get(field.name) for field in RUN_SCHEMA.fields)
+            corpus.sparkSession.createDataFrame([values], RUN_SCHEMA).coalesce(1).write.mode("append").parquet(journal)
+        return row
+
     with ThreadPoolExecutor(max_workers=max(1, parallel_cells)) as pool:
         for feature in features or list(extractors):
             times: dict[str, float] = {}
             failure, stored, train = None, None, None
+            chosen = list(models or fits)
+            rows.extend(known[feature, model] for model in chosen if (feature, model) in known)
+            chosen = [model for model in chosen if (feature, model) not in known]
+            if not chosen:
+                continue
             try:
                 with timed("feature", times):
                     stored, _ = cache.load_or_extract(corpus, extractors[feature], digest, use_cache, times)
@@ -122,9 +151,8 @@ def run_grid(
                     raise failure
                 return {**times, **run_cell(stored, fits[model], train)}
 
-            chosen = list(models or fits)
             rows.extend(pool.map(
-                lambda model, feature=feature, cell=cell: _guarded(variant, feature, model, lambda: cell(model)), chosen
+                lambda model, feature=feature, cell=cell: told(_guarded(variant, feature, model, lambda: cell(model))), chosen
             ))
             if train is not None:
                 train.unpersist()

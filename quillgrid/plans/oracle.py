@@ -432,7 +432,8 @@ ORACLE: dict[str, str] = {
         "SELECT vec_id, label AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, label) AS place FROM votes) WHERE place = 1",
     ),
     "knn_proba": with_tables(NEAREST, "SELECT vec_id, label, votes / sum(votes) OVER (PARTITION BY vec_id) AS share FROM votes"),
-    **{name: model_rows("doc_id", DIVIDED + CODES) for name in ("logreg", "random_forest", "gbt_ovr", "gbt_early_stop", "linear_svm", "svm_calibrated")},
+    **{name: model_rows("doc_id", DIVIDED + CODES) for name in ("logreg", "random_forest", "gbt_softmax", "gbt_ovr", "linear_svm", "svm_calibrated")},
+    "gbt_early_stop": model_rows("doc_id", DIVIDED + CODES).replace(SOUND_MODEL, SOUND_MODEL + ", TRUE AS best_is_not_last"),
     "mlp": with_tables(VECTORS, f"SELECT vec_id AS doc_id, label AS truth, {SOUND_MODEL} FROM divided WHERE split = 'test'"),
     "word2vec_vectors": with_tables(
         DIVIDED + term_table("space", 1, 1),

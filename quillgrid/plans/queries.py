@@ -439,7 +439,13 @@ def _model_query(fit: Callable, extractor=None, embeddings: bool = False):
     return query
 
 
-SMALL_BOW = features.TermFeatures("bow", (1, 1), 1_000, False)
+def gbt_early_stop(spark, sf_dir):
+    """Up to 500 rounds; each row also says that fitting ended before, and not at the best round."""
+    df = _stored(spark, sf_dir)
+    parts = {name: df.where(F.col("split") == name) for name in ("train", "val", "test")}
+    model = classifiers.fit_boosted_trees_early_stop(parts["train"], parts["val"])
+    ended = len(model.trees) < model.rounds_fitted
+    return _checked(model.transform(parts["test"])).withColumn("best_is_not_last", F.lit(ended))
 
 
 def evaluation(spark, sf_dir):
@@ -620,8 +626,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_proba": knn_proba,
     "logreg": _model_query(lambda train, val: classifiers.fit_logistic_regression(train), features.tfidf()),
     "random_forest": _model_query(lambda train, val: classifiers.fit_random_forest(train)),
-    "gbt_ovr": _model_query(lambda train, val: classifiers.fit_boosted_trees(train, rounds=5), SMALL_BOW),
-    "gbt_early_stop": _model_query(lambda train, val: classifiers.fit_boosted_trees_early_stop(train, val, rounds=5), SMALL_BOW),
+    "gbt_softmax": _model_query(lambda train, val: classifiers.fit_boosted_trees(train)),
+    "gbt_ovr": _model_query(lambda train, val: classifiers.fit_boosted_trees(train, joint=False)),
+    "gbt_early_stop": gbt_early_stop,
     "linear_svm": _model_query(lambda train, val: classifiers.fit_linear_svm(train), features.tfidf()),
     "svm_calibrated": _model_query(lambda train, val: classifiers.fit_calibrated_svm(train), features.tfidf("strict")),
     "mlp": _model_query(lambda train, val: classifiers.fit_mlp(train), embeddings=True),

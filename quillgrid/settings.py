@@ -32,6 +32,7 @@ SVM_C = 1.0
 SVM_MAX_ITER = 2000
 SVM_TOLERANCE = 1e-3
 SVM_CALIBRATION_FOLDS = 3
+SVM_SIGMOID_FOLDS = 5
 NB_ALPHA = 1.0
 KNN_K = 5
 MLP_HIDDEN = (256, 128)

@@ -96,3 +96,28 @@ def test_best_of_a_hot_group_with_ties(spark):
 def test_union_fills_columns(spark):
     a, b = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([("e",)], "error string")
     assert [tuple(r) for r in union_runs(a, b).collect()] == [(1, None), (None, "e")]
+
+
+def test_a_journal_goes_on_where_the_grid_stopped(divided, tmp_path):
+    """Cells that ran are taken from the journal, failed and missing ones run."""
+    runs = []
+
+    def fit(name, fails=False):
+        def work(train, val):
+            runs.append(name)
+            if fails:
+                raise ValueError("lost")
+            return fit_naive_bayes(train)
+
+        return work
+
+    journal = f"file://{tmp_path}/journal"
+    again = {"extractors": {"bow": TermFeatures("bow", (1, 1), 100, False)}, "use_cache": False, "journal": journal}
+    first = run_grid(divided, fits={"a": fit("a"), "b": fit("b", True)}, **again).collect()
+    assert [r.error is None for r in first] == [True, False] and runs == ["a", "b"]
+    runs.clear()
+    second = run_grid(divided, fits={"a": fit("a"), "b": fit("b"), "c": fit("c")}, **again).collect()
+    assert runs == ["b", "c"] and {r.model for r in second} == {"a", "b", "c"} and all(r.error is None for r in second)
+    assert [r.test_f1_macro for r in second if r.model == "a"] == [first[0].test_f1_macro]
+    runs.clear()
+    assert len(run_grid(divided, fits={"a": fit("a"), "b": fit("b"), "c": fit("c")}, **again).collect()) == 3 and not runs

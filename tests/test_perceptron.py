@@ -1,0 +1,64 @@
+"""Perceptron: gradients against differences, the stop on held-out rows, and one result whatever the dealing."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+
+from quillgrid.operators import perceptron
+from quillgrid.operators.blocks import Rows
+
+
+def rows_of(x, y):
+    sizes, terms, values = (x != 0).sum(axis=1), np.nonzero(x)[1], x[x != 0]
+    return Rows(y, np.ones(len(x), int), np.concatenate([[0], np.cumsum(sizes)]), terms, values)
+
+
+def test_gradients_against_differences():
+    random = np.random.default_rng(0)
+    x = random.normal(0, 1, (7, 6)) * (random.random((7, 6)) < 0.6)
+    x[3] = 0
+    rows = rows_of(x, random.integers(0, 3, 7))
+    layers = [(w.astype(float), b.astype(float)) for w, b in perceptron.fresh([6, 5, 4, 3], 1)]
+    _, terms, first, others = perceptron.gradients(layers, rows)
+    whole = np.zeros((6, 5))
+    whole[terms] = first
+    for value, slope in zip([v for pair in layers for v in pair], [whole, *others]):
+        for at in np.ndindex(value.shape):
+            kept = value[at]
+            found = []
+            for step in (1e-6, -1e-6):
+                value[at] = kept + step
+                found.append(perceptron.gradients(layers, rows)[0])
+            value[at] = kept
+            assert slope[at] == pytest.approx((found[0] - found[1]) / 2e-6, abs=1e-4)
+
+
+def test_sparse_products():
+    random = np.random.default_rng(1)
+    x = random.normal(0, 1, (9, 5)) * (random.random((9, 5)) < 0.4)
+    rows, w, d = rows_of(x, np.zeros(9, int)), random.normal(0, 1, (5, 3)), random.normal(0, 1, (9, 3))
+    assert np.allclose(rows.times(w), x @ w)
+    terms, out = rows.transposed_times(d)
+    assert np.allclose(out, (x.T @ d)[terms]) and set(np.flatnonzero(x.any(axis=0))) == set(terms)
+    chosen = np.array([4, 0, 8])
+    assert np.allclose(rows.take(chosen).times(w), x[chosen] @ w)
+
+
+def frame(spark, n, seed):
+    """Two classes that no line parts."""
+    random = np.random.default_rng(seed)
+    x = random.uniform(-1, 1, (n, 2))
+    return spark.createDataFrame([(i, int(a * b > 0), Vectors.dense([a, b, 0.0])) for i, (a, b) in enumerate(x)], ["doc_id", "label_enc", "features"])
+
+
+def test_learns_and_stops(spark):
+    train, test = frame(spark, 600, 1), frame(spark, 300, 2)
+    model = perceptron.fit_perceptron(train, (32, 16), max_epochs=60, rate=2e-2, patience=4)
+    assert model.stopped and len(model.losses) < 60 and len(model.scores) == len(model.losses)
+    assert len(model.scores) - 1 - int(np.argmax(model.scores)) >= 4
+    got = model.transform(test).select("label_enc", "prediction", vector_to_array("probability").alias("p")).collect()
+    assert np.mean([r.label_enc == r.prediction for r in got]) > 0.9
+    assert all(abs(sum(r.p) - 1) < 1e-6 for r in got)
