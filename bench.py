@@ -20,6 +20,7 @@ HEADLINE = (
     "ngram_features", "tfidf_strict", "w2v_doc_mean", "nb_complement", "evaluate", "knn_predict", "zero_shot_batch",
     "scan_corpus", "best_per_group", "strong_scaling", "pivot_mean", "logreg", "random_forest", "linear_svm",
     "word2vec_vectors", "doc2vec_train", "svm_calibrated", "mlp", "cell_run",
+    "gbt_softmax",
 )
 
 
