@@ -93,6 +93,17 @@ def test_headerless_files_are_numbered(spark, tmp_path):
     assert scanned.columns == ["col0", "col1"] and sorted(map(tuple, scanned.collect())) == [("0", "hello there"), ("1", "you")]
 
 
+def test_layout_of_a_folder_whose_first_files_have_no_text(spark, tmp_path):
+    for name, data in (("part-0", b""), ("part-1", b"\n \n"), ("part-2", b"1;x\t7\n"), ("part-3", b"2;y\t8\n")):
+        write(tmp_path / name, data)
+    assert sorted(map(tuple, scan_delimited(spark, str(tmp_path)).collect())) == [("1;x", "7"), ("2;y", "8")]
+    (tmp_path / "none").mkdir()
+    write(tmp_path / "none" / "part-0", b"")
+    write(tmp_path / "none" / "part-1", b"\n")
+    with pytest.raises(ValueError):
+        sniff(spark, str(tmp_path / "none"))
+
+
 def test_prepared_edge_cases(spark, tmp_path):
     corpus = load_corpus(spark, write(tmp_path / "c.csv", EDGE_CASES))
     assert corpus.schema["label"].dataType.simpleString() == "int"
