@@ -121,3 +121,16 @@ def test_broadcast_only_below_the_limit(spark):
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
     assert "BroadcastHashJoin" in plan(100) and "SortMergeJoin" in plan(99)
+
+
+def test_term_counts_of_rows_and_repeated_ids(spark):
+    """Counts equal those of an aggregate; rows under an id of their own are not shuffled."""
+    from quillgrid.operators.vocabulary import term_counts
+
+    rows = [(1, ["b", "a", "b"]), (2, []), (3, ["c"]), (4, None), (None, ["x", "y"]), (None, ["x"]), (5, ["a", "a"]), (5, ["a", "z"])]
+    for chosen in (rows, rows[:4]):
+        df = spark.createDataFrame(chosen, "doc_id long, tokens array<string>")
+        want = df.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+        got = term_counts(df, "doc_id")
+        assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
