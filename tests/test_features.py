@@ -134,3 +134,23 @@ def test_term_counts_of_rows_and_repeated_ids(spark):
         got = term_counts(df, "doc_id")
         assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_corpora_are_counted_in_more_tasks(divided, monkeypatch):
+    from quillgrid.operators import features
+
+    train, seen, count = divided.where("split = 'train'"), [], features.term_stats
+    before = train.sparkSession.conf.get("spark.sql.shuffle.partitions")
+
+    def noted(df):
+        seen.append((df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        return count(df)
+
+    monkeypatch.setattr(features, "term_stats", noted)
+    one = features.ngram().fit(train)
+    monkeypatch.setattr(features, "TASK_CHARS", 20_000)
+    several = features.ngram().fit(train)
+    chars = train.selectExpr("sum(length(text_clean)) AS n").first().n
+    assert min(seen[1]) >= 2 * chars / 20_000 > max(seen[0])
+    assert one.rows == several.rows and one.documents == several.documents
+    assert train.sparkSession.conf.get("spark.sql.shuffle.partitions") == before
