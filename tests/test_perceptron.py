@@ -62,3 +62,19 @@ def test_learns_and_stops(spark):
     got = model.transform(test).select("label_enc", "prediction", vector_to_array("probability").alias("p")).collect()
     assert np.mean([r.label_enc == r.prediction for r in got]) > 0.9
     assert all(abs(sum(r.p) - 1) < 1e-6 for r in got)
+
+
+def test_passes_of_an_epoch_do_not_grow_with_the_blocks(spark, monkeypatch):
+    passes, whole = [], perceptron._pass
+    monkeypatch.setattr(perceptron, "BLOCK_ENTRIES", 20)
+    monkeypatch.setattr(perceptron, "_pass", lambda *given: passes.append(given[3]) or whole(*given))
+    model = perceptron.fit_perceptron(frame(spark, 600, 1), (4,), max_epochs=1)
+    assert len(model.losses) == 1 and passes == [*range(perceptron.STEPS), -1]
+
+
+def test_filled_rows_give_the_products_of_sparse_ones():
+    random = np.random.default_rng(2)
+    x, d = random.normal(0, 1, (9, 5)), random.normal(0, 1, (9, 3))
+    rows = rows_of(x, np.zeros(9, int))
+    assert np.array_equal(rows.filled(5, float), x) and rows.filled(50, float) is None
+    assert np.allclose(rows.times(x.T), x @ x.T) and np.allclose(rows.transposed_times(d)[1], x.T @ d)
