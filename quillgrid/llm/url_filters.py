@@ -18,6 +18,8 @@ columns do not matter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillgrid.llm.components import connected_components
@@ -52,23 +54,34 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
     return found
 
 
+def once(value: Column, step: Callable[[Column], Column]) -> Column:
+    """``step`` of a value that stands in the plan once, however often the step names it: written out, nested steps multiply."""
+    return F.get(F.transform(F.array(value), step), F.lit(0))
+
+
 def resource(url: Column) -> Column:
     """The address without its fragment, scheme and host in lower case: what a server is asked for."""
-    bare = F.regexp_replace(url, r"(?s)#.*$", "")
-    start = F.regexp_extract(bare, r"^([^/?#]*://[^/?#]*)", 1)
-    rest = F.substr(bare, F.length(start) + 1)
-    return F.concat(F.translate(start, UPPER, LOWER), F.when(rest.contains("/."), without_dots(rest)).otherwise(rest))
+    def joined(start: Column, rest: Column) -> Column:
+        return F.concat(F.translate(start, UPPER, LOWER), F.when(rest.contains("/."), without_dots(rest)).otherwise(rest))
+
+    def divided(bare: Column) -> Column:
+        start = F.regexp_extract(bare, r"^([^/?#]*://[^/?#]*)", 1)
+        return once(start, lambda start: once(F.substr(bare, F.length(start) + 1), lambda rest: joined(start, rest)))
+
+    return once(F.regexp_replace(url, r"(?s)#.*$", ""), divided)
 
 
 def without_dots(rest: Column) -> Column:
     """A path, with what follows its ``?``, without ``.`` and ``..`` segments."""
-    path = F.regexp_extract(rest, r"^([^?]*)", 1)
-    ended = F.when(path.rlike(r"/\.\.?$"), F.concat(path, F.lit("/"))).otherwise(path)
-    parts = F.aggregate(
-        F.split(F.substr(ended, F.lit(2)), "/"), F.array().cast("array<string>"),
-        lambda kept, part: F.when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(part == ".", kept).otherwise(F.concat(kept, F.array(part))),
-    )
-    return F.concat(F.lit("/"), F.array_join(parts, "/"), F.substr(rest, F.length(path) + 1))
+    def plain(path: Column) -> Column:
+        ended = F.when(path.rlike(r"/\.\.?$"), F.concat(path, F.lit("/"))).otherwise(path)
+        parts = F.aggregate(
+            F.split(F.substr(ended, F.lit(2)), "/"), F.array().cast("array<string>"),
+            lambda kept, part: F.when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(part == ".", kept).otherwise(F.concat(kept, F.array(part))),
+        )
+        return F.concat(F.lit("/"), F.array_join(parts, "/"), F.substr(rest, F.length(path) + 1))
+
+    return once(F.regexp_extract(rest, r"^([^?]*)", 1), plain)
 
 
 def unescaped(text: Column) -> Column:
@@ -77,25 +90,30 @@ def unescaped(text: Column) -> Column:
         number = F.when(F.lower(F.substr(code, F.lit(1), F.lit(1))) == "x", F.conv(F.substr(code, F.lit(2)), 16, 10)).otherwise(code).cast("bigint")
         return F.when(number.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("")
 
-    chars = F.transform(F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(1)), char)
-    plain = F.array_join(F.zip_with(F.split(text, NUMBERED), chars, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
-    return F.replace(F.when(text.contains("&#"), plain).otherwise(text), F.lit("&amp;"), F.lit("&"))
+    def plain(text: Column) -> Column:
+        chars = F.transform(F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(1)), char)
+        numbered = F.array_join(F.zip_with(F.split(text, NUMBERED), chars, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
+        return F.replace(F.when(text.contains("&#"), numbered).otherwise(text), F.lit("&amp;"), F.lit("&"))
+
+    return once(text, plain)
 
 
 def resolve(target: Column, base: Column) -> Column:
     """A link's target as a full address, from the page's address."""
-    scheme = F.regexp_extract(base, r"^([^/?#]*:)//", 1)
-    site = F.regexp_extract(base, r"^([^/?#]*://[^/?#]*)", 1)
-    path = path_of(base)
-    folder = F.when(path.contains("/"), F.regexp_extract(path, r"^(.*/)", 1)).otherwise("/")
-    return (
-        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-        .when(target.startswith("//"), F.concat(scheme, target))
-        .when(target.startswith("/"), F.concat(site, target))
-        .when(target.startswith("?"), F.concat(site, F.when(path == "", "/").otherwise(path), target))
-        .when(target.startswith("#"), base)
-        .otherwise(F.concat(site, folder, target))
-    )
+    def full(target: Column, base: Column, path: Column) -> Column:
+        scheme = F.regexp_extract(base, r"^([^/?#]*:)//", 1)
+        site = F.regexp_extract(base, r"^([^/?#]*://[^/?#]*)", 1)
+        folder = F.when(path.contains("/"), F.regexp_extract(path, r"^(.*/)", 1)).otherwise("/")
+        return (
+            F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when(target.startswith("//"), F.concat(scheme, target))
+            .when(target.startswith("/"), F.concat(site, target))
+            .when(target.startswith("?"), F.concat(site, F.when(path == "", "/").otherwise(path), target))
+            .when(target.startswith("#"), base)
+            .otherwise(F.concat(site, folder, target))
+        )
+
+    return once(target, lambda target: once(base, lambda base: once(path_of(base), lambda path: full(target, base, path))))
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -113,7 +131,7 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         F.regexp_extract("tag", REFRESH, 1)
     )
     named = tags.select("url", "base", unescaped(F.trim(target)).alias("target")).where(F.col("target") != "")
-    base = F.when(F.coalesce(F.col("base"), F.lit("")) != "", resolve(F.col("base"), F.col("url"))).otherwise(F.col("url"))
+    base = once(F.col("base"), lambda base: F.when(F.coalesce(base, F.lit("")) != "", resolve(base, F.col("url"))).otherwise(F.col("url")))
     return named.select(resource(F.col("url")).alias("a"), resource(resolve(F.col("target"), base)).alias("b"))
 
 
