@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.functions.replies import class_name, prompt, read_reply
-from quillgrid.functions.text import clean_text, has_text, tokens, word_ngrams
+from quillgrid.functions.text import CLEANING_PATTERNS, clean_text, has_text, tokens, word_ngrams
 
 CLEANED = [
     ("Hello <b>World</b>!", "hello world !"),
@@ -24,6 +24,20 @@ def test_clean(spark, text, expected):
     assert value(spark, text, clean_text) == expected
 
 
+ODD = [
+    None, "", " ", " a ", "\t\n", "-", "--a--b--", "a-b", "é", "x\u00a0y\u3000z", "\U0001f600 a\U0001f600b \U0010ffff", "\x00a\x00", "\ufffd", "İIıſK",
+    "<a", "a>b", "<p><b>x</b>", "<>x", "http", "http:// x", "wwwx y", "www\u2028z", "' . , ! ?", "'a'  'b'", "A\r\nB\x85C", "1,000.50", "a" * 5000 + "é" * 5000,
+]
+
+
+def test_clean_is_what_all_patterns_leave(spark):
+    plain = F.lower("t")
+    for pattern in CLEANING_PATTERNS:
+        plain = F.regexp_replace(plain, pattern, " ")
+    rows = spark.createDataFrame([(t,) for t in [*ODD, *ODD]], "t string").select("t", clean_text(F.col("t")).alias("got"), F.trim(plain).alias("want")).collect()
+    assert len(rows) == 2 * len(ODD) and [r for r in rows if r.got != r.want] == []
+
+
 @pytest.mark.parametrize("kind, expected", [
     ("default", ["don", "stop", "ab", "3d", "x9y"]),
     ("strict", ["don", "stop", "x9y"]),
