@@ -116,6 +116,29 @@ def test_band_distance(threshold):
     assert all(g == w if w <= threshold else g > threshold for g, w in zip(got, want))
 
 
+def test_distances_of_long_lines_with_many_edits():
+    """A threshold per pair; the work grows with the edits, not with the length times the edits."""
+    rng = random.Random(5)
+    left, right, limit = [], [], []
+    for size, letters in ((300, "ab "), (1500, "etaoin shrdlu"), (4000, "abé漢😀 "), (900, "".join(map(chr, range(300, 900))))):
+        for k in range(12):
+            text = "".join(rng.choices(letters, k=size))
+            chars = list(text)
+            for _ in range(rng.randrange(0, size // 20)):
+                at, kind = rng.randrange(len(chars)), rng.randrange(3)
+                chars[at:at + (kind != 0)] = [] if kind == 1 else [rng.choice(letters)]
+            left.append(text)
+            right.append("".join(chars) if k else "".join(rng.choices(letters, k=size)))
+            limit.append(rng.choice([size * 3 // 100, size // 25, 3]))
+    want = [line_dedup._whole_distance(a, b) for a, b in zip(left, right)]
+    got = line_dedup.edit_distances(left, right, np.array(limit))
+    assert all(g == w if w <= most else g > most for g, w, most in zip(got, want, limit))
+    assert sum(w <= most for w, most in zip(want, limit)) > 10 and max(g for g, most in zip(got, limit) if g <= most) > 50
+    near, distance = line_dedup.near_distances(left, right)
+    allowed = line_dedup.allowed(np.array([min(len(a), len(b)) for a, b in zip(left, right)]))
+    assert [bool(x) for x in near] == [w <= most for w, most in zip(want, allowed)] and all(distance[near] == np.array(want)[near])
+
+
 @pytest.mark.parametrize("pairs", [line_dedup.PAIRS, 30])
 def test_edit_join_finds_every_pair(spark, pairs):
     lines = near_lines(3)
